@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.llm import decontaminate, packing, quality, token_rollup, warc
+from cloakwork.llm import decontaminate, licenses, packing, quality, token_rollup, warc
 from cloakwork.llm.shared import shared_folder
 
 
@@ -95,11 +95,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("found")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_rollup": op1_token_rollup,
     "op2_quality_rules": op2_quality_rules,
     "op3_decontamination": op3_decontamination,
     "op5_warc": op5_warc,
     "op8_packing": op8_packing,
+    "op9_license_scan": op9_license_scan,
 }
 SQL: dict[str, str] = {"op1_token_rollup": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_warc": OP5_SQL}
