@@ -17,15 +17,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are inserted; toxic ones are then deleted and poor ones revised (digits scrubbed), twice under one batch id."""
+    """All documents are inserted; toxic ones are then deleted and poor ones revised (digits scrubbed), twice under one batch id.
+
+    Texts are only counted, never shuffled: counts meet the labels, not the documents.
+    """
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     ledger = token_rollup.TokenLedger(spark, f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}")
     ledger.commit("load", token_rollup.count_tokens(docs).withColumn("op", F.lit("insert")))
     versions = F.explode(F.array(*map(F.lit, token_rollup.TOKENIZERS)))
     gone = labels.filter("toxic = 1").select("doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), versions.alias("tokenizer"), F.lit(0).cast("long").alias("n_tokens"), F.lit("delete").alias("op"))
-    poor = docs.join(labels.filter("toxic = 0 AND quality = 0").select("doc_id"), "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", "[0-9]", " "))
-    changes = gone.unionByName(token_rollup.count_tokens(poor).withColumn("op", F.lit("revise")))
+    scrubbed = docs.withColumn("text", F.regexp_replace("text", "[0-9]", " "))
+    poor = token_rollup.count_tokens(scrubbed).join(labels.filter("toxic = 0 AND quality = 0").select("doc_id"), "doc_id")
+    changes = gone.unionByName(poor.withColumn("op", F.lit("revise")))
     ledger.commit("review", changes)
     ledger.commit("review", changes)
     return ledger.totals()
