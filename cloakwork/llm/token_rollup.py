@@ -5,6 +5,7 @@ rollup that they add up to::
 
     entries/batch=<id>   doc_id, source, lang, tokenizer, n_tokens, n_docs   (signed)
     deltas/batch=<id>    source, lang, tokenizer, n_tokens, n_docs           (signed sums)
+    changes/batch=<id>   the batch itself, one row for each document and tokenizer version
     commits/batch=<id>   written last: a batch without it does not count
 
 An insert adds the document's counts, a delete subtracts what the ledger holds for it, a revision does
@@ -30,7 +31,7 @@ KEYS = ["source", "lang", "tokenizer"]
 #: Rule-based tokenizers by version: whitespace words, and runs of digits, Latin letters and characters beyond ASCII.
 TOKENIZERS = {
     "space-1": lambda text: F.size(words_of(text)),
-    "alnum-1": lambda text: F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")),
+    "alnum-1": lambda text: F.regexp_count(text, F.lit(r"[\p{Alnum}\x{80}-\x{10FFFF}]+")),
 }
 
 
@@ -102,6 +103,9 @@ class TokenLedger:
         rank = F.struct("op", "source", "lang", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
         known = changes.filter("doc_id IS NOT NULL AND tokenizer IS NOT NULL AND op IN ('insert', 'delete', 'revise')")
         last = known.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "tokenizer").agg(F.max(rank).alias("new")).select("doc_id", "tokenizer", "new.*")
+        place = f"{self.path}/changes/batch={batch}"
+        last.write.mode("overwrite").parquet(place)  # read twice below: what the batch counted isn't counted again
+        last = self.spark.read.schema(last.schema).parquet(place)
         added = last.filter("op != 'delete'").select("doc_id", *KEYS, "n_tokens", F.lit(1).cast("long").alias("n_docs"))
         signed = added
         if self._exists(f"{self.path}/commits"):
