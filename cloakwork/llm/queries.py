@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.llm import decontaminate, licenses, packing, quality, token_rollup, warc
+from cloakwork.llm import decontaminate, licenses, packing, quality, token_rollup, toxicity, warc
 from cloakwork.llm.shared import shared_folder
 
 
@@ -95,6 +95,10 @@ FROM p LEFT JOIN f ON f.d = p.d AND p.n >= 100
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -108,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_decontamination": op3_decontamination,
     "op5_warc": op5_warc,
+    "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_license_scan": op9_license_scan,
 }
