@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.llm import decontaminate, licenses, packing, quality, token_rollup, toxicity, warc
+from cloakwork.llm import decontaminate, licenses, packing, quality, substring_dedup, token_rollup, toxicity, warc
 from cloakwork.llm.shared import shared_folder
 
 
@@ -95,6 +95,27 @@ FROM p LEFT JOIN f ON f.d = p.d AND p.n >= 100
 """
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (
+  SELECT rid, i, md5(array_to_string(w[i : i + 34], ' ')) AS h
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+rep AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT rid, i + k AS at FROM (SELECT rid, i, unnest(range(0, 35)) AS k FROM win WHERE h IN (SELECT h FROM rep))),
+word AS (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS at FROM d),
+kept AS (
+  SELECT word.rid, string_agg(x, ' ' ORDER BY word.at) AS s, count(*) AS n
+  FROM word LEFT JOIN gone ON gone.rid = word.rid AND gone.at = word.at WHERE gone.rid IS NULL GROUP BY word.rid)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.rid = d.rid
+"""
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -112,8 +133,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_decontamination": op3_decontamination,
     "op5_warc": op5_warc,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_license_scan": op9_license_scan,
 }
-SQL: dict[str, str] = {"op1_token_rollup": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_warc": OP5_SQL}
+SQL: dict[str, str] = {"op1_token_rollup": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_warc": OP5_SQL, "op6_substring_dedup": OP6_SQL}
