@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,6 @@ import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Words looked up so often that their fingerprints are kept; the cache is emptied beyond this many.
-CACHE_WORDS = 300_000
 #: Bytes of text that one step of a chunked loop holds as Python words at most (a longer text is a chunk of its own).
 CHUNK_BYTES = 6_000_000
 
@@ -39,19 +38,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-class Fingerprints(dict):
-    """word (bytes) -> unsigned 64-bit fingerprint, the same in every process."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble unsigned 64-bit values (a bijection)."""
     x = x ^ (x >> np.uint64(31))
@@ -77,21 +63,90 @@ def rolling(tokens: np.ndarray, width: int, salt: int) -> np.ndarray:
     return h
 
 
-def chunks(batches: Iterable[pa.RecordBatch], text: int = 1, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+def slices(batches: Iterable[pa.RecordBatch], text: int = 1, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into pieces whose texts (a binary column) hold ``limit`` bytes at most, or one row."""
     for batch in batches:
-        column = batch.column(text)
         if not batch.num_rows:
             continue
-        sizes = np.asarray([0 if n is None else n for n in pa.compute.binary_length(column).to_pylist()], np.int64)
+        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
-        ends = np.cumsum(sizes)
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
-            yield batch.slice(at, to - at), column.slice(at, to - at).to_pylist()
+            yield batch.slice(at, to - at)
             at = to
 
 
+def chunks(batches: Iterable[pa.RecordBatch], text: int = 1, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """As slices, with the texts as a list."""
+    for batch in slices(batches, text, limit):
+        yield batch, batch.column(text).to_pylist()
+
+
+#: Odd base of the polynomial that fingerprints a word, and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15 | 1
+INVERSE = pow(BASE, -1, 1 << 64)
+#: Words beyond this many bytes get their fingerprint from a strong hash instead.
+LONG_WORD = 200
+
+
+@lru_cache(maxsize=2)
+def _byte_values(lower: bool) -> np.ndarray:
+    """A random-looking 64-bit value for each byte; A-Z as a-z if lower."""
+    value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    if lower:
+        value[65:91] = value[97:123]
+    return value
+
+
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((BASE, INVERSE)):
+            _POWERS[i] = np.cumprod(np.r_[np.uint64(1), np.full(n, base, np.uint64)])
+    return _POWERS
+
+
+def word_names(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(names, counts): a 64-bit fingerprint of each word of a binary column, and each row's number of words.
+
+    Words are runs of bytes other than the six ASCII white-space characters; ``lower`` folds A-Z.  A
+    fingerprint depends on the word's bytes alone.  All words of the column are done at once: sums of
+    byte values times powers of an odd base, cut at the words' ends and shifted to a common power.
+    """
+    n = len(column)
+    large = pa.types.is_large_binary(column.type)
+    _, places, data = column.buffers()
+    if not n or data is None:
+        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
+    offsets = np.frombuffer(places, np.int64 if large else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    begin = ~space
+    begin[1:] &= space[:-1]
+    inner = offsets[1:-1][offsets[1:-1] < len(raw)]
+    begin[inner] = ~space[inner]  # a row's first byte begins a word whatever the row before ends with
+    close = ~space
+    close[:-1] &= space[1:]
+    inner = offsets[1:-1][offsets[1:-1] > 0]
+    close[inner - 1] = ~space[inner - 1]
+    starts = np.flatnonzero(begin)
+    ends = np.flatnonzero(close) + 1
+    power, inverse = _powers(len(raw) + 1)
+    sums = np.empty(len(raw) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_byte_values(lower)[raw] * power[: len(raw)], out=sums[1:])
+    names = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        word = raw[starts[i] : ends[i]].tobytes()
+        names[i] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)
+    return names, np.diff(np.searchsorted(starts, offsets))
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64, copy=False).view(np.int64)

@@ -10,8 +10,9 @@ window that holds a symbol's range holds that symbol in each of its copies.
 1. ``rounds`` rounds leave about a sixth as many symbols as words.  Names that occur twice anywhere in
    the corpus are found by one shuffle of names.
 2. A window all of whose symbols are shared may be repeated; any other is provably unique.  (A window
-   that holds no symbol's range is taken as a candidate.)  Only candidates are spelled out, as 128-bit
-   fingerprints, and those that occur twice are repeats.
+   that holds no symbol's range is taken as a candidate.)  Only candidates are spelled out, as
+   fingerprints that travel in runs under the name of their first symbol, and those that occur twice
+   (same symbol, same place in the window, same fingerprint) are repeats.
 3. Words under a repeated window are removed.
 
 What a task sees twice itself needs no shuffle: of each name or window a task's chunk sends one row, with
@@ -29,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakwork.llm.shared import Fingerprints, chunks, mix, rolling, signed
+from cloakwork.llm.shared import chunks, mix, rolling, signed, slices, word_names
 
 WIDTH = 35
 ROUNDS = 6
 FAR = 1 << 40
 #: Bytes of text that a task works on at a time.
-STEP = 4_000_000
+STEP = 3_000_000
 
 
 def recompress(tokens: np.ndarray, doc: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -87,11 +88,9 @@ def recompress(tokens: np.ndarray, doc: np.ndarray, rounds: int) -> tuple[np.nda
 class Parsed:
     """The symbols of a chunk of texts, and which windows hold which."""
 
-    def __init__(self, texts: list[bytes | None], names: Fingerprints, width: int, rounds: int):
-        tokens = [names.of(t.split()) if t else np.zeros(0, np.uint64) for t in texts]
-        self.lengths = np.asarray([len(t) for t in tokens], np.int64)
+    def __init__(self, texts: pa.Array, width: int, rounds: int):
+        self.tokens, self.lengths = word_names(texts)
         self.starts = np.r_[0, np.cumsum(self.lengths)]
-        self.tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(texts)), self.lengths)
         self.width = width
         self.name, self.lo, self.hi, self.doc = recompress(self.tokens, owner, rounds)
@@ -112,6 +111,15 @@ class Parsed:
         np.add.at(change, self.lo[symbols] + 1, -1)
         return np.cumsum(change)[: n + 1] > 0
 
+    def first_symbols(self, symbols: np.ndarray) -> np.ndarray:
+        """The first of these symbols whose range each window (by its first word) holds; len(self.name) without one."""
+        out = np.full(len(self.tokens) + 1, len(self.name), np.int64)
+        begin = np.maximum(self.hi[symbols] - self.width, self.starts[self.doc[symbols]])
+        size = self.lo[symbols] + 1 - begin
+        place = np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        out[place[::-1]] = np.repeat(symbols, size)[::-1]  # of several values for a place the last one stays
+        return out
+
 
 def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first place of each distinct key, whether it occurs again) for places sorted by key."""
@@ -124,9 +132,9 @@ def _symbols(width: int, rounds: int):
     """Step 1: rows (name, doc, crc, at, many, known)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Fingerprints()
-        for batch, texts in chunks(batches, limit=STEP):
-            p = Parsed(texts, names, width, rounds)
+        for batch in slices(batches, limit=STEP):
+            texts = batch.column(1)
+            p = Parsed(texts, width, rounds)
             u = p.usable
             first, many = repeated(p.name[u])
             bare = p.windows[~p.holding(u)[p.windows]]  # windows without a symbol
@@ -144,35 +152,59 @@ def _symbols(width: int, rounds: int):
 
 
 def _windows(width: int, rounds: int):
-    """Step 2: rows (name, more, doc, crc, at, to, many, known) of candidate windows at..to-1."""
+    """Step 2: rows (name, doc, crc, at, off, spelled, many, known) of runs of candidate windows.
+
+    The windows at..at+len(spelled)-1 share their first symbol, called ``name``, whose range begins
+    ``off`` words after the first of them; ``spelled`` are the windows' fingerprints.  (A window
+    without a symbol is a run of its own under a second fingerprint.)  A known run has ``off``
+    windows and no fingerprints.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Fingerprints()
-        for batch, texts in chunks(batches, limit=STEP):
-            p = Parsed(texts, names, width, rounds)
+        for batch in slices(batches, limit=STEP):
+            p = Parsed(batch.column(1), width, rounds)
             shared = np.zeros(len(p.name) + 1, bool)
-            first_symbol = np.searchsorted(p.doc, np.arange(len(texts)))
+            first_symbol = np.searchsorted(p.doc, np.arange(batch.num_rows))
             lists = batch.column(3)
-            owner = np.repeat(np.arange(len(texts)), np.asarray([len(x) for x in lists.to_pylist()], np.int64))
+            owner = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
             at = np.asarray(lists.flatten(), np.int64)
             shared[first_symbol[owner[at >= 0]] + at[at >= 0]] = True
             w = p.windows[~p.holding(p.usable[~shared[p.usable]])[p.windows]]
             if not len(w):
                 continue
+            anchor = p.first_symbols(p.usable[shared[p.usable]])[w]
+            bare = anchor == len(p.name)
             one, two = rolling(p.tokens, width, 1)[w], rolling(p.tokens, width, 2)[w]
+            name = np.where(bare, two, np.r_[p.name, np.uint64(0)][anchor])
+            off = np.where(bare, 0, np.r_[p.lo, 0][anchor] - w)
             first, many = repeated(one ^ mix(two))
-            known = w[many]
-            begin = known[np.r_[True, (known[1:] != known[:-1] + 1) | (p.owner[known[1:]] != p.owner[known[:-1]])]] if len(known) else known
-            end = known[np.r_[(known[1:] != known[:-1] + 1) | (p.owner[known[1:]] != p.owner[known[:-1]]), True]] + 1 if len(known) else known
-            row = np.r_[w[first], begin]
+            head = np.zeros(len(w), bool)
+            head[first] = True
+            # runs of windows in a row with one anchor, all first of their kind here and all with or without copies here
+            h = np.flatnonzero(head)
+            cut = np.r_[True, (w[h][1:] != w[h][:-1] + 1) | (anchor[h][1:] != anchor[h][:-1]) | bare[h][1:] | (many[h][1:] != many[h][:-1])]
+            begin = h[cut]
+            sizes = np.diff(np.r_[np.flatnonzero(cut), len(h)])
+            k = np.flatnonzero(many)
+            gap = (w[k][1:] != w[k][:-1] + 1) | (p.owner[w[k]][1:] != p.owner[w[k]][:-1])
+            known = k[np.r_[True, gap]] if len(k) else k
+            length = w[k[np.r_[gap, True]]] + 1 - w[known] if len(k) else k
+            row = np.r_[w[begin], w[known]]
             doc = p.owner[row]
-            base = p.starts[doc]
             own = pa.array(doc)
-            pad = signed(mix(begin.astype(np.uint64) + np.uint64(17) * doc[len(first) :].astype(np.uint64)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[signed(one[first]), pad]), pa.array(np.r_[signed(two[first]), pad]), batch.column(0).take(own), batch.column(2).take(own), pa.array((row - base).astype(np.int32)), pa.array((np.r_[w[first] + 1, end] - base).astype(np.int32)), pa.array(np.r_[many[first], np.ones(len(begin), bool)]), pa.array(np.r_[np.zeros(len(first), bool), np.ones(len(begin), bool)])],
-                ["name", "more", "doc", "crc", "at", "to", "many", "known"],
-            )
+            pad = signed(mix(w[known].astype(np.uint64) + np.uint64(17) * doc[len(begin) :].astype(np.uint64)))
+            ends = np.r_[0, np.cumsum(sizes), np.full(len(known), len(h))].astype(np.int32)
+            columns = [
+                pa.array(np.r_[signed(name[begin]), pad]),
+                batch.column(0).take(own),
+                batch.column(2).take(own),
+                pa.array((row - p.starts[doc]).astype(np.int32)),
+                pa.array(np.r_[off[begin], length].astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(one[h]))),
+                pa.array(np.r_[many[begin], np.ones(len(known), bool)]),
+                pa.array(np.r_[np.zeros(len(begin), bool), np.ones(len(known), bool)]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["name", "doc", "crc", "at", "off", "spelled", "many", "known"])
 
     return run
 
@@ -195,7 +227,7 @@ def _removal(width: int):
                 n_removed.append(n_words[-1] - len(words))
                 kept.append(b" ".join(words))
             digest = [hashlib.sha256(k).hexdigest() for k in kept]
-            yield pa.RecordBatch.from_arrays([batch.column(5), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return run
 
@@ -212,8 +244,12 @@ def repeats(docs: DataFrame, width: int, rounds: int) -> DataFrame:
     found = _shared(docs.mapInArrow(_symbols(width, rounds), "name long, doc long, crc int, at int, many boolean, known boolean"), "name")
     lists = found.groupBy("doc", "crc").agg(F.collect_list("at").alias("at"))
     texts = docs.join(lists, ["doc", "crc"]).select("doc", "text", "crc", "at")
-    spelled = _shared(texts.mapInArrow(_windows(width, rounds), "name long, more long, doc long, crc int, at int, to int, many boolean, known boolean"), "name", "more")
-    return spelled.groupBy("doc", "crc").agg(F.collect_list("at").alias("begin"), F.collect_list("to").alias("end"))
+    runs = texts.mapInArrow(_windows(width, rounds), "name long, doc long, crc int, at int, off int, spelled array<long>, many boolean, known boolean").repartition("name")
+    windows = runs.select("name", "doc", "crc", "at", "off", "many", "known", F.posexplode_outer("spelled").alias("k", "more"))
+    k = F.coalesce("k", F.lit(0))
+    windows = windows.select("name", "more", "doc", "crc", (F.col("at") + k).alias("at"), F.when(F.col("known"), F.col("at") + F.col("off")).otherwise(F.col("at") + k + 1).alias("to"), F.when(~F.col("known"), F.col("off") - k).alias("off"), "many", "known")
+    found = _shared(windows, "name", "off", "more")
+    return found.groupBy("doc", "crc").agg(F.collect_list("at").alias("begin"), F.collect_list("to").alias("end"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
@@ -225,6 +261,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     no windows.  Other columns are ignored; an empty table gives no rows.
     """
     text = F.col(text_col).cast("string").cast("binary")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), text.alias("text"), F.hash(F.coalesce(text, F.lit(b""))).alias("crc"), F.col(id_col).cast("long").alias("doc_id"))
-    ranges = repeats(rows.select("doc", "text", "crc"), width, rounds)
-    return rows.join(ranges, ["doc", "crc"], "left").select("doc", "text", "crc", "begin", "end", "doc_id").mapInArrow(_removal(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
+    none = -(1 << 63)  # stands for a null id, so that both joins shuffle the very same rows and Spark does so once
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("doc"), text.alias("text"), F.hash(F.coalesce(text, F.lit(b""))).alias("crc"))
+    ranges = repeats(rows, width, rounds)
+    return rows.join(ranges, ["doc", "crc"], "left").select(F.nullif("doc", F.lit(none)).alias("doc"), "text", "crc", "begin", "end").mapInArrow(_removal(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
