@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.llm import decontaminate, licenses, packing, quality, substring_dedup, token_rollup, toxicity, warc
+from cloakwork.llm import decontaminate, jaccard_join, licenses, packing, quality, substring_dedup, token_rollup, toxicity, warc
 from cloakwork.llm.shared import shared_folder
 
 
@@ -81,6 +81,27 @@ FROM dw LEFT JOIN hit ON hit.rid = dw.rid LEFT JOIN its ON its.rid = dw.rid
 """
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + least(5, len(w)) - 1], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM g x JOIN g y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS (
+  SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 80 * (na.n + nb.n - i)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.b)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id
+"""
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_report(_table(spark, sf_dir, "pages"))
 
@@ -132,10 +153,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_rollup": op1_token_rollup,
     "op2_quality_rules": op2_quality_rules,
     "op3_decontamination": op3_decontamination,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_warc": op5_warc,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_license_scan": op9_license_scan,
 }
-SQL: dict[str, str] = {"op1_token_rollup": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_warc": OP5_SQL, "op6_substring_dedup": OP6_SQL}
+SQL: dict[str, str] = {"op1_token_rollup": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op5_warc": OP5_SQL, "op6_substring_dedup": OP6_SQL}
