@@ -14,7 +14,6 @@ each, which carries the spans found so far.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.shared import chunks
+from cloakwork.llm.shared import slices
 
 BLOCK = 3
 #: A-Z to a-z; digits, a-z and every byte of a character beyond ASCII stay; the rest parts words.
@@ -119,24 +118,43 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     items count once.  Repeated rows are judged one by one; other columns are ignored; an empty test
     set leaves every document clean.  ``spans`` holds the hit words' half-open ranges.
     """
-    spark = docs.sparkSession
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.lit(None).cast("array<int>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    out = search(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), benchmark, "text", item_col, item_text_col, width=width, shard_words=shard_words)
+    return out.select(
+        "doc_id",
+        F.element_at(SPANS, 1).cast("long").alias("n_words"),
+        F.element_at(SPANS, 2).cast("long").alias("n_hit"),
+        F.size(ITEMS).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(ITEMS), ","), 256).alias("items_sha256"),
+        verdict(share).alias("contaminated"),
+        F.slice(SPANS, 3, F.greatest(F.size(SPANS) - 2, F.lit(0))).alias("spans"),
+        F.array_sort(ITEMS).alias("items"),
+    )
+
+
+#: Columns that a search adds: the lower-cased words' text, the spans found (words, hit words, bounds) and the items.
+TEXT, SPANS, ITEMS = "__search_text", "__search_spans", "__search_items"
+
+
+def verdict(share: int):
+    hit, total = F.element_at(SPANS, 2), F.element_at(SPANS, 1)
+    return (hit > 0) & (share * hit.cast("long") >= total)
+
+
+def search(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, *, width: int, shard_words: int) -> DataFrame:
+    """All rows and columns of ``docs``, with SPANS and ITEMS."""
+    out = docs.withColumns({TEXT: F.col(text_col).cast("string").cast("binary"), SPANS: F.lit(None).cast("array<int>"), ITEMS: F.lit(None).cast("array<string>")})
     pieces = shards(benchmark, item_col, item_text_col, shard_words)
     shard = next(pieces)
     while shard is not None:
         after = next(pieces, None)
-        out = out.mapInArrow(_step(spark.sparkContext.broadcast(shard), width, last=after is None), out.schema)
+        out = out.mapInArrow(_step(docs.sparkSession.sparkContext.broadcast(shard), width, last=after is None), out.schema)
         shard = after
-    return out.select(
-        "doc_id",
-        F.element_at("spans", 1).cast("long").alias("n_words"),
-        F.element_at("spans", 2).cast("long").alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
-        ((F.element_at("spans", 2) > 0) & (share * F.element_at("spans", 2).cast("long") >= F.element_at("spans", 1))).alias("contaminated"),
-        F.slice("spans", 3, F.greatest(F.size("spans") - 2, F.lit(0))).alias("spans"),
-        F.array_sort("items").alias("items"),
-    )
+    return out.drop(TEXT)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, width: int = 13, share: int = 20, shard_words: int = 200_000) -> DataFrame:
+    """The rows that are not contaminated, with all their columns."""
+    return search(docs, benchmark, text_col, item_col, item_text_col, width=width, shard_words=shard_words).filter(~verdict(share)).select(docs.columns)
 
 
 def _step(shard, width: int, last: bool):
@@ -144,15 +162,18 @@ def _step(shard, width: int, last: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searches = tables(shard.value, width)
-        for batch, texts in chunks(batches):
-            spans, items = [], []
-            for text, before, had in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                w = words(text)
-                now, found = scan(searches, w)
-                if before:
-                    now = merged([*now, *zip(before[2::2], before[3::2], strict=True)])
-                spans.append([len(w), sum(b - a for a, b in now), *(x for ab in now for x in ab)])
-                items.append(sorted(found.union(had or ())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(batch.num_rows, pa.binary()) if last else batch.column(1), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "spans", "items"])
+        for batch in batches:
+            at = batch.num_columns - 3  # TEXT, SPANS, ITEMS
+            for part in slices([batch], text=at):
+                spans, items = [], []
+                for text, before, had in zip(*(part.column(at + k).to_pylist() for k in range(3)), strict=True):
+                    w = words(text)
+                    now, found = scan(searches, w)
+                    if before:
+                        now = merged([*now, *zip(before[2::2], before[3::2], strict=True)])
+                    spans.append([len(w), sum(b - a for a, b in now), *(x for ab in now for x in ab)])
+                    items.append(sorted(found.union(had or ())))
+                own = [*part.columns[:at], pa.nulls(part.num_rows, pa.binary()) if last else part.column(at), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(own, names=part.schema.names)
 
     return run

@@ -117,7 +117,7 @@ FROM p LEFT JOIN f ON f.d = p.d AND p.n >= 100
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept", "text", "rest")
 
 
 OP6_SQL = r"""

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cloakwork.llm.shared import chunks, mix, rolling, signed, slices, word_names
 
@@ -227,11 +228,15 @@ def _removal(width: int):
                 n_removed.append(n_words[-1] - len(words))
                 kept.append(b" ".join(words))
             digest = [hashlib.sha256(k).hexdigest() for k in kept]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest), pa.array(kept, pa.binary()), batch.column(1), batch.column(5)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "text", "rest"])
 
     return run
 
 
+def _parse(ddl: str) -> list:
+    return list(StructType.fromDDL(ddl))
+
+
 def _shared(rows: DataFrame, *names: str) -> DataFrame:
     """Rows whose name occurs in another row, or more than once in a chunk; rows known beforehand pass."""
     w = Window.partitionBy("known", *names)
@@ -241,9 +246,9 @@ def _shared(rows: DataFrame, *names: str) -> DataFrame:
 
 def repeats(docs: DataFrame, width: int, rounds: int) -> DataFrame:
     """(doc, crc, begin[], end[]): ranges of first words of repeated windows."""
-    found = _shared(docs.mapInArrow(_symbols(width, rounds), "name long, doc long, crc int, at int, many boolean, known boolean"), "name")
+    found = _shared(docs.select("doc", "text", "crc").mapInArrow(_symbols(width, rounds), "name long, doc long, crc int, at int, many boolean, known boolean"), "name")
     lists = found.groupBy("doc", "crc").agg(F.collect_list("at").alias("at"))
-    texts = docs.join(lists, ["doc", "crc"]).select("doc", "text", "crc", "at")
+    texts = docs.join(lists, ["doc", "crc"]).select("doc", "text", "crc", "at", "rest")  # rest only so that this join's shuffle is the last one's, too
     runs = texts.mapInArrow(_windows(width, rounds), "name long, doc long, crc int, at int, off int, spelled array<long>, many boolean, known boolean").repartition("name")
     windows = runs.select("name", "doc", "crc", "at", "off", "many", "known", F.posexplode_outer("spelled").alias("k", "more"))
     k = F.coalesce("k", F.lit(0))
@@ -252,8 +257,10 @@ def repeats(docs: DataFrame, width: int, rounds: int) -> DataFrame:
     return found.groupBy("doc", "crc").agg(F.collect_list("at").alias("begin"), F.collect_list("to").alias("end"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, kept_sha256 and kept (the words left, joined by one space, as binary).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, rounds: int = ROUNDS, carry: list[str] | None = None) -> DataFrame:
+    """Per row: doc_id, n_words, n_removed, kept_sha256, kept (the words left, joined by one space) and the text itself, as binary.
+
+    ``carry`` names columns to pass on in the struct ``rest``.
 
     A word goes if a window of ``width`` words that covers it also starts anywhere else, in the same
     text or another.  A null or empty text has no words.  Repeated rows are copies of each other (and lose
@@ -262,6 +269,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.col(text_col).cast("string").cast("binary")
     none = -(1 << 63)  # stands for a null id, so that both joins shuffle the very same rows and Spark does so once
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("doc"), text.alias("text"), F.hash(F.coalesce(text, F.lit(b""))).alias("crc"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("doc"), text.alias("text"), F.hash(F.coalesce(text, F.lit(b""))).alias("crc"), F.struct(*([F.col(c) for c in carry] if carry else [F.lit(0).alias("none")])).alias("rest"))
     ranges = repeats(rows, width, rounds)
-    return rows.join(ranges, ["doc", "crc"], "left").select(F.nullif("doc", F.lit(none)).alias("doc"), "text", "crc", "begin", "end").mapInArrow(_removal(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
+    return rows.join(ranges, ["doc", "crc"], "left").select(F.nullif("doc", F.lit(none)).alias("doc"), "text", "crc", "begin", "end", "rest").mapInArrow(_removal(width), StructType([*_parse("doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, text binary"), rows.schema["rest"]]))

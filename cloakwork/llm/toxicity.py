@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.shared import chunks, mix
+from cloakwork.llm.shared import mix, slices
 
 DECAY, SPAN = 0.7, 6
 #: Longest unit that the kernel sees whole; longer ones are cut into overlapping pieces of this many characters.
@@ -273,30 +273,50 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, toxic_rows: int, clean_
     return [(r[1], r[2]) for r in rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()]
 
 
-def score_texts(docs: DataFrame, machine: StringMachine, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+class Scorer:
+    """Scores texts within a task, with a bounded cache of unit scores."""
+
+    def __init__(self, model: StringMachine):
+        self.model, self.cache = model, {}
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        split = [units(t) for t in texts]
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        new = sorted(set().union(*split).difference(self.cache))
+        self.cache.update(zip(new, self.model.margins(new).tolist(), strict=True))
+        top = np.asarray([max(map(self.cache.__getitem__, us), default=EMPTY) for us in split])
+        return self.model.probability(top).astype(np.float64)
+
+
+def score_texts(docs: DataFrame, machine: StringMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, score, predicted.  A text without units scores as a clean one.
 
-    Rows are scored one by one, repeated ones too; null ids are kept; an empty table gives no rows.
-    ``keep`` names further columns that are passed on (then the text comes back as a string).
+    Rows are scored one by one, repeated ones too; null ids are kept; other columns are ignored; an
+    empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    keep = keep or []
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        cache: dict[str, float] = {}
-        for batch, texts in chunks(batches, limit=2_000_000):
-            split = [units(t.decode()) if t else set() for t in texts]
-            if len(cache) > CACHE:
-                cache.clear()
-            new = sorted(set().union(*split).difference(cache))
-            cache.update(zip(new, model.margins(new).tolist(), strict=True))
-            top = np.asarray([max(map(cache.__getitem__, us), default=EMPTY) for us in split])
-            score = model.probability(top).astype(np.float64)
+        scorer = Scorer(shared.value)
+        for batch in slices(batches, limit=2_000_000):
+            score = scorer(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, machine: StringMachine, text_col: str = "text") -> DataFrame:
+    """The rows that the machine does not reject, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in slices(batches, text=at, limit=2_000_000):
+            yield batch.filter(pa.array(scorer(batch.column(at).to_pylist()) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = 1500, clean_rows: int = 3000, **options) -> DataFrame:
