@@ -8,9 +8,9 @@ by the set's signature; everything below works on classes.
   shingles (the prefixes) share one, n >= t m, and the overlap is at least o = ceil(t (n + m) / (1 + t)).
 * Prefix shingles that one class alone has are dropped after one shuffle; what is left is written.
 * Links inside a large group of near copies are found as stars first: each prefix shingle proposes
-  its least class as a leader, every class is compared with the leader it shares most with.
+  up to three leaders, every class is compared with those it shares most with.
 * Then all other candidates are found exactly: pairs that share a prefix shingle, are alike in size
-  and do not already belong to one star.  A pair that shares c light (not frequent) prefix shingles can
+  and are not already connected by those links.  A pair that shares c light (not frequent) prefix shingles can
   overlap in c + (frequent ones in either prefix) + (what follows the larger prefix) at most; for a
   frequent shingle, as if it were the first they share, in 1 + (what follows it in either set).
   Only pairs whose bound reaches o are kept.
@@ -39,7 +39,7 @@ from cloakwork.llm.shared import mix, rolling, slices, word_names, written
 SHINGLE = 5
 LIGHT_BITS = 62
 #: Bytes of text that a task works on at a time.
-STEP = 8_000_000
+STEP = 5_000_000
 #: Bits of the bitmap that preselects classes.
 BITMAP = 1 << 22
 #: Sets that are compared with one class by one task.
@@ -52,28 +52,38 @@ class Sets:
     def __init__(self, texts: pa.Array, heavy: np.ndarray, shingle: int):
         words, counts = word_names(texts, lower=True)
         begin = np.r_[0, np.cumsum(counts)]
-        room = np.where(counts >= shingle, counts - shingle + 1, 0)
-        place = np.repeat(begin[:-1] - np.r_[0, np.cumsum(room)[:-1]], room) + np.arange(room.sum())
-        values = rolling(words, shingle, 5)[place] if len(place) else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(counts)), room)
-        short = np.flatnonzero((counts > 0) & (counts < shingle))
-        whole = np.asarray([reduce(lambda h, w: mix(h * np.uint64(31) + w), words[begin[i] : begin[i + 1]], mix(np.full(1, counts[i], np.uint64)))[0] for i in short], np.uint64)
-        values = np.r_[values, whole] >> np.uint64(64 - LIGHT_BITS)
-        owner = np.r_[owner, short]
+        room = np.where(counts >= shingle, counts - shingle + 1, np.minimum(counts, 1))
+        starts = np.r_[0, np.cumsum(room)]
+        values = np.empty(starts[-1], np.uint64)
+        long = np.repeat(counts >= shingle, room)
+        place = np.repeat(begin[:-1] - starts[:-1], room) + np.arange(starts[-1])
+        if long.any():
+            values[long] = rolling(words, shingle, 5)[place[long]]
+        for i in np.flatnonzero((counts > 0) & (counts < shingle)):
+            values[starts[i]] = reduce(lambda h, w: mix(h * np.uint64(31) + w), words[begin[i] : begin[i + 1], None], mix(np.full(1, counts[i], np.uint64)))[0]
+        del words, long, place
+        flat = (values >> np.uint64(64 - LIGHT_BITS)).view(np.int64)
         if len(heavy):  # frequent shingles: by their place in the table, after all others
-            values = values.astype(np.int64)
-            at = np.minimum(np.searchsorted(heavy["value"], values), len(heavy) - 1)
-            hit = heavy["value"][at] == values
-            values = np.where(hit, (1 << LIGHT_BITS) + heavy["rank"][at], values)
-        values = values.astype(np.int64)
-        order = np.lexsort((values, owner))
-        values, owner = values[order], owner[order]
-        first = np.ones(len(values), bool)
-        first[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-        self.flat, owner = values[first], owner[first]
+            at = np.minimum(np.searchsorted(heavy["value"], flat), len(heavy) - 1)
+            flat = np.where(heavy["value"][at] == flat, (1 << LIGHT_BITS) + heavy["rank"][at], flat)
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            if b - a > 1:
+                flat[a:b].sort()
+        owner = np.repeat(np.arange(len(counts)), room)
+        first = np.ones(len(flat), bool)
+        first[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
+        self.flat, owner = flat[first], owner[first]
         self.sizes = np.bincount(owner, minlength=len(counts)).astype(np.int64)
         self.starts = np.r_[0, np.cumsum(self.sizes)]
-        total = np.r_[np.uint64(0), np.cumsum(mix(self.flat.astype(np.uint64) + np.uint64(77)))]
+        # a class's name is a sum over its shingles' fingerprints, so the order plays no part
+        plain = self.flat
+        if len(heavy):
+            plain = plain.copy()
+            frequent = np.flatnonzero(plain >= 1 << LIGHT_BITS)
+            by_rank = np.empty(len(heavy), np.int64)
+            by_rank[heavy["rank"]] = heavy["value"]
+            plain[frequent] = by_rank[plain[frequent] - (1 << LIGHT_BITS)]
+        total = np.r_[np.uint64(0), np.cumsum(mix(plain.astype(np.uint64) + np.uint64(77)))]
         self.names = mix((total[self.starts[1:]] - total[self.starts[:-1]]) + self.sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
     def distinct(self) -> np.ndarray:
@@ -99,17 +109,21 @@ def least_overlap(n, m, percent: int):
 NONE = np.zeros(0, [("value", np.int64), ("rank", np.int64)])
 
 
-def _common(shingle: int):
-    """Shingles that several classes of a chunk have, with their counts."""
+def _overview(shingle: int):
+    """(doc_id, class, n, value[], count[]) of every row; a chunk's first row has the shingles that several of its classes hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=STEP):
             s = Sets(batch.column(1), NONE, shingle)
             rows = s.distinct()
             at, _ = s.members(rows, s.sizes[rows])
-            value, count = np.unique(s.flat[at], return_counts=True)
+            value = np.sort(s.flat[at])
+            edges = np.flatnonzero(np.r_[True, value[1:] != value[:-1], True]) if len(value) else np.zeros(1, np.int64)
+            count = np.diff(edges)
             many = count > 2
-            yield pa.RecordBatch.from_arrays([pa.array(value[many]), pa.array(count[many])], ["value", "count"])
+            offsets = pa.array(np.r_[0, np.full(batch.num_rows, many.sum())].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (value[edges[:-1]][many], count[many])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s.names), pa.array(s.sizes), *lists], ["doc_id", "class", "n", "value", "count"])
 
     return run
 
@@ -132,17 +146,6 @@ def _prefixes(heavy, shingle: int, percent: int):
     return run
 
 
-def _names(heavy, shingle: int):
-    """(doc_id, class, n) of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=STEP):
-            s = Sets(batch.column(1), heavy.value, shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s.names), pa.array(s.sizes)], ["doc_id", "class", "n"])
-
-    return run
-
-
 def _chosen(heavy, bitmap, shingle: int):
     """(class, tokens) of classes that the bitmap may hold."""
 
@@ -204,22 +207,32 @@ def _groups(work):
 
 
 def _stars(percent: int):
-    """(class, leader): each class with the least class of its key that is alike in size."""
+    """(class, leader, kind): each class with leaders of its key that are alike in size.
+
+    Leaders are the class most of whose prefix shingles others have too (kind 0: the likely centre
+    of a group of near copies), the smallest set (1), and one by hash (2); what is not alike in size
+    elects leaders of its own.
+    """
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, name, n = (np.asarray(table.column(i)) for i in range(3))
+        key, name, n, live = (np.asarray(table.column(i)) for i in range(4))
+        part = -live / prefix_length(n.astype(np.int64), percent)
+        by = (part, n, mix(name.view(np.uint64)))
         edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         pairs: list[np.ndarray] = []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            rest = np.arange(a, b)
-            while len(rest) > 1:
-                lead = rest[np.argmin(name[rest])]
-                alike = (np.minimum(n[rest], n[lead]) * 100 >= np.maximum(n[rest], n[lead]) * percent) & (rest != lead)
-                if alike.any():
-                    pairs.append(np.c_[name[rest[alike]], np.full(alike.sum(), name[lead])])
-                rest = rest[~alike & (rest != lead)]
-        found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["class", "leader"])
+            for kind, value in enumerate(by):
+                rest = np.arange(a, b)
+                while len(rest) > 1:
+                    lead = rest[np.lexsort((name[rest], value[rest]))[0]]
+                    alike = (np.minimum(n[rest], n[lead]) * 100 >= np.maximum(n[rest], n[lead]) * percent) & (rest != lead)
+                    if alike.any():
+                        pairs.append(np.c_[name[rest[alike]], np.full((alike.sum(), 2), (name[lead], kind))])
+                    rest = rest[~alike & (rest != lead)]
+                if b - a == 2:  # the other kinds would elect the same pair
+                    break
+        found = np.concatenate(pairs) if pairs else np.zeros((0, 3), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, i].copy()) for i in range(3)], ["class", "leader", "kind"])
 
     return _groups(work)
 
@@ -366,25 +379,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    often = rows.mapInArrow(_common(shingle), "value long, count long").groupBy("value").agg(F.sum("count").alias("count")).filter(F.col("count") >= frequent_from)
+    overview = written(rows.mapInArrow(_overview(shingle), "doc_id long, class long, n long, value array<long>, count array<long>"), "classes")
+    base = overview.select("doc_id", "class", "n")
+    often = overview.select(F.inline(F.arrays_zip("value", "count"))).groupBy("value").agg(F.sum("count").alias("count")).filter(F.col("count") >= frequent_from)
     top = [(r[0], r[1]) for r in often.orderBy(F.desc("count"), "value").limit(frequent).collect()]
     table = np.asarray([(v, i) for i, (v, _) in enumerate(reversed(top))], NONE.dtype)
     heavy = spark.sparkContext.broadcast(np.sort(table, order="value"))
-    base = written(rows.mapInArrow(_names(heavy, shingle), "doc_id long, class long, n long"), "classes")
 
     entries = rows.mapInArrow(_prefixes(heavy, shingle, percent), "key long, class long, n int, at int, heavies int").repartition("key")
     entries = entries.groupBy("key", "class").agg(*[F.first(c).alias(c) for c in ("n", "at", "heavies")])
     entries = entries.withColumn("own", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("own > 1").drop("own")
-    entries = written(entries.select("key", "class", "n", "at", "heavies"), "prefixes")
+    entries = entries.withColumn("live", F.count(F.lit(1)).over(Window.partitionBy("class")))
+    entries = written(entries.select("key", "class", "n", "at", "heavies", "live"), "prefixes")
     by_key = lambda df: df.repartition("key").sortWithinPartitions("key")
 
-    stars = by_key(entries.select("key", "class", "n")).mapInArrow(_stars(percent), "class long, leader long").groupBy("class", "leader").count()
-    best = stars.groupBy("class").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"), F.max("count").alias("count"))
-    sizes = entries.select("class", "n").distinct()
-    likely = best.join(sizes, "class").filter(F.col("count") * 12 >= F.col("n") * (100 - percent) / 100).select(F.col("leader").alias("a"), F.col("class").alias("b"))
+    stars = by_key(entries.select("key", "class", "n", "live")).mapInArrow(_stars(percent), "class long, leader long, kind long").groupBy("class", "leader", "kind").count()
+    best = stars.groupBy("class", "kind").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
+    likely = best.select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
+    enough = stars.groupBy(F.col("leader").alias("a"), F.col("class").alias("b")).agg(F.max("count").alias("count")).join(entries.select(F.col("class").alias("b"), "n").distinct(), "b")
+    likely = likely.join(enough.filter(F.col("count") * 12 >= F.col("n") * (100 - percent) / 100).select("a", "b"), ["a", "b"])
     linked = verified(likely, rows, heavy, shingle, percent)
 
-    star = linked.groupBy(F.col("b").alias("class")).agg(F.min("a").alias("star"))
+    star = components(linked).withColumnRenamed("root", "star")
     marked = entries.join(star, "class", "left").select("key", "class", "n", "at", "heavies", F.coalesce("star", "class").alias("star"))
     found = by_key(marked).mapInArrow(_candidates(percent), "a long, b long, strong boolean, n int, m int, heavies int")
     counted = found.groupBy("a", "b").agg(F.max("strong").alias("strong"), F.sum((~F.col("strong")).cast("int")).alias("light"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("heavies").alias("heavies"))
@@ -401,3 +417,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = reached.join(named, "root").select("class", "n", "component_id")
     some = base.filter("n > 0").join(ids, ["class", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return some.unionByName(base.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """All columns of one row of each component: the one whose id is the component's.
+
+    Rows without words stay, as do rows without an id.  Of rows that repeat an id one stays.
+    """
+    found = written(near_duplicates(docs, id_col, text_col, **options), "components")
+    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    if found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
+    return kept.withColumn("__rank", F.when(F.col(id_col).isNull(), 1).otherwise(rank)).filter("__rank = 1").drop("__rank")
