@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.llm import decontaminate, jaccard_join, licenses, packing, quality, substring_dedup, token_rollup, toxicity, warc
+from cloakwork.llm import decontaminate, jaccard_join, licenses, lm_scoring, packing, quality, substring_dedup, token_rollup, toxicity, warc
 from cloakwork.llm.shared import shared_folder
 
 
@@ -149,6 +149,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("found")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_rollup": op1_token_rollup,
     "op2_quality_rules": op2_quality_rules,
@@ -159,5 +163,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_license_scan": op9_license_scan,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 SQL: dict[str, str] = {"op1_token_rollup": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op5_warc": OP5_SQL, "op6_substring_dedup": OP6_SQL}
