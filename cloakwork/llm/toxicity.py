@@ -196,6 +196,7 @@ def train(rows: Iterable[tuple[str | None, int]], *, landmarks: int = 256, clean
     words = sorted({w for own, label in texts for w in own})
     number = {w: i for i, w in enumerate(words)}
     bags = [([number[w] for w in own], label) for own, label in texts]
+    del texts, number
     candidate = np.asarray([w not in in_clean for w in words], bool)
     toxic_bags = [[x for x in own if candidate[x]] for own, label in bags if label == 1]
     toxic_bags = [own for own in toxic_bags if own]
