@@ -45,24 +45,25 @@ def recompress(tokens: np.ndarray, doc: np.ndarray, rounds: int) -> tuple[np.nda
     name, d = mix(tokens), doc
     lo = np.arange(len(tokens), dtype=np.int64)
     hi = lo + 1
+    begin, end = lo, hi  # the words that a symbol stands for, which [lo, hi) holds
     for r in range(rounds):
         if not len(name):
             break
-        # runs: a run of two or more depends on the different neighbours that end it
+        # runs, of one symbol too: that the neighbours differ is part of what decided it.  A neighbour that would
+        # lengthen the run has its boundary word, so one other word there settles it; else the neighbour's range does.
         new = np.r_[True, (name[1:] != name[:-1]) | (d[1:] != d[:-1])]
         first = np.flatnonzero(new)
         last = np.r_[first[1:], len(name)] - 1
         count = last - first + 1
-        run = np.flatnonzero(count > 1)
-        n2, lo2, hi2, d2 = name[first], lo[first], hi[last], d[first]
+        n2, lo2, hi2, d2, begin, end = name[first], lo[first], hi[last], d[first], begin[first], end[last]
         before = np.r_[FAR, d2[1:] - d2[:-1]] == 0
         after = np.r_[before[1:], False]
-        if len(run):
-            grown_lo = np.where(before[run], lo[last[run - 1]], -FAR)
-            grown_hi = np.where(after[run], hi[first[np.minimum(run + 1, len(first) - 1)]], FAR)
-            lo2[run] = np.minimum(lo2[run], grown_lo)
-            hi2[run] = np.maximum(hi2[run], grown_hi)
-            n2[run] = mix(n2[run] * np.uint64(31) + count[run].astype(np.uint64))
+        other = tokens[np.maximum(begin - 1, 0)] != tokens[end - 1]
+        lo2 = np.where(before, np.minimum(lo2, np.where(other, begin - 1, np.r_[0, lo[last[:-1]]])), -FAR)
+        other = tokens[np.minimum(end, len(tokens) - 1)] != tokens[begin]
+        hi2 = np.where(after, np.maximum(hi2, np.where(other, end + 1, np.r_[hi[first[1:]], 0])), FAR)
+        run = np.flatnonzero(count > 1)
+        n2[run] = mix(n2[run] * np.uint64(31) + count[run].astype(np.uint64))
         name, lo, hi, d = n2, lo2, hi2, d2
         # pairs: left-half names take a right-half name that follows
         left = (mix(name + np.uint64(7919 * (r + 1))) >> np.uint64(40)) & np.uint64(1) == 0
@@ -82,7 +83,9 @@ def recompress(tokens: np.ndarray, doc: np.ndarray, rounds: int) -> tuple[np.nda
         lo2[k], hi2[k] = np.minimum(lo[k], lo[k - 1]), np.maximum(hi[k], hi[k - 1])
         lo2[alone & ~left & ~before] = -FAR
         keep = ~second
-        name, lo, hi, d = n2[keep], lo2[keep], hi2[keep], d[keep]
+        end = end.copy()
+        end[i] = end[i + 1]
+        name, lo, hi, d, begin, end = n2[keep], lo2[keep], hi2[keep], d[keep], begin[keep], end[keep]
     return name, lo, hi, d
 
 

@@ -19,7 +19,16 @@ def corpus():
     return list(enumerate(texts))
 
 
-def test_substring_dedup(spark, corpus):
+def runs_of_words():
+    """Windows that end or begin with a word that is a run in one copy only."""
+    parts = [[f"u{k}_{j}" for j in range(12)] for k in range(60)]
+    texts = [" ".join(t) for k, p in enumerate(parts) for t in ((f"x{k}", *p, f"y{k}"), (p[0], *p, p[-1], p[-1]))]
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_substring_dedup(spark, corpus, few):
+    corpus = runs_of_words() if few else corpus
     width = 12
     split = {i: (x or "").encode().split() for i, x in corpus}
     seen = {}
