@@ -7,11 +7,12 @@ a central dictionary.  Beside its name a symbol carries the range of words that
 and neighbours that it was kept apart from): wherever those words occur, the symbol occurs.  So a
 window that holds a symbol's range holds that symbol in each of its copies.
 
-1. ``rounds`` rounds leave about a sixth as many symbols as words.  Names that occur twice anywhere in
-   the corpus are found by one shuffle of names.
-2. A window all of whose symbols are shared may be repeated; any other is provably unique.  (A window
+1. ``rounds`` rounds leave about a sixth as many symbols as words.  Each window stands by one symbol that
+   it holds, that of the least name; so its copies stand by the same one.  Names by which windows stand
+   twice anywhere in the corpus are found by one shuffle of these names.
+2. A window that stands by a shared name may be repeated; any other is provably unique.  (A window
    that holds no symbol's range is taken as a candidate.)  Only candidates are spelled out, as
-   fingerprints that travel in runs under the name of their first symbol, and those that occur twice
+   fingerprints that travel in runs under their symbol's name, and those that occur twice
    (same symbol, same place in the window, same fingerprint) are repeats.
 3. Words under a repeated window are removed.
 
@@ -106,22 +107,17 @@ class Parsed:
         self.windows = np.repeat(self.starts[:-1] - np.r_[0, np.cumsum(room)[:-1]], room) + np.arange(room.sum())
         self.owner = owner
 
-    def holding(self, symbols: np.ndarray) -> np.ndarray:
-        """Which windows (by their first word) hold the range of any of these symbols."""
-        n = len(self.tokens)
-        change = np.zeros(n + 2, np.int64)
-        begin = np.maximum(self.hi[symbols] - self.width, self.starts[self.doc[symbols]])
-        np.add.at(change, begin, 1)
-        np.add.at(change, self.lo[symbols] + 1, -1)
-        return np.cumsum(change)[: n + 1] > 0
+    def least_symbols(self) -> np.ndarray:
+        """Of the symbols whose range each window (by its first word) holds, the first with the least name; len(self.name) without one.
 
-    def first_symbols(self, symbols: np.ndarray) -> np.ndarray:
-        """The first of these symbols whose range each window (by its first word) holds; len(self.name) without one."""
+        It depends on the window's words alone, so a window's copies agree on it.
+        """
         out = np.full(len(self.tokens) + 1, len(self.name), np.int64)
+        symbols = self.usable[np.argsort(self.name[self.usable], kind="stable")[::-1]]
         begin = np.maximum(self.hi[symbols] - self.width, self.starts[self.doc[symbols]])
         size = self.lo[symbols] + 1 - begin
         place = np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-        out[place[::-1]] = np.repeat(symbols, size)[::-1]  # of several values for a place the last one stays
+        out[place] = np.repeat(symbols, size)  # of several values for a place the last one stays
         return out
 
 
@@ -139,9 +135,10 @@ def _symbols(width: int, rounds: int):
         for batch in slices(batches, limit=STEP):
             texts = batch.column(1)
             p = Parsed(texts, width, rounds)
-            u = p.usable
+            least = p.least_symbols()[p.windows]
+            u = np.unique(least[least < len(p.name)])
             first, many = repeated(p.name[u])
-            bare = p.windows[~p.holding(u)[p.windows]]  # windows without a symbol
+            bare = p.windows[least == len(p.name)]  # windows without a symbol
             bare_docs = np.unique(p.owner[bare]) if len(bare) else np.zeros(0, np.int64)
             known = np.flatnonzero(many)
             doc = np.r_[p.doc[u[first]], p.doc[u[known]], bare_docs]
@@ -158,7 +155,7 @@ def _symbols(width: int, rounds: int):
 def _windows(width: int, rounds: int):
     """Step 2: rows (name, doc, crc, at, off, spelled, many, known) of runs of candidate windows.
 
-    The windows at..at+len(spelled)-1 share their first symbol, called ``name``, whose range begins
+    The windows at..at+len(spelled)-1 stand by one symbol, called ``name``, whose range begins
     ``off`` words after the first of them; ``spelled`` are the windows' fingerprints.  (A window
     without a symbol is a run of its own under a second fingerprint.)  A known run has ``off``
     windows and no fingerprints.
@@ -173,10 +170,11 @@ def _windows(width: int, rounds: int):
             owner = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
             at = np.asarray(lists.flatten(), np.int64)
             shared[first_symbol[owner[at >= 0]] + at[at >= 0]] = True
-            w = p.windows[~p.holding(p.usable[~shared[p.usable]])[p.windows]]
+            shared[-1] = True
+            anchor = p.least_symbols()[p.windows]
+            w, anchor = p.windows[shared[anchor]], anchor[shared[anchor]]
             if not len(w):
                 continue
-            anchor = p.first_symbols(p.usable[shared[p.usable]])[w]
             bare = anchor == len(p.name)
             one, two = rolling(p.tokens, width, 1)[w], rolling(p.tokens, width, 2)[w]
             name = np.where(bare, two, np.r_[p.name, np.uint64(0)][anchor])
