@@ -8,7 +8,8 @@ same text always gets the same verdict.
 
 One pass over the text counts, one scores.  The counts are grouped by bucket (partial sums of at most
 ``buckets`` rows leave a task); the table of ratios reaches the scorer as one constant array of
-``buckets`` doubles.  The trusted ids are broadcast: at most ``trusted_rows``, taken by hash order.
+``buckets`` doubles.  The target covers every trusted document: rows meet the distinct trusted ids by
+a merge join at every size, which shuffles the texts once and broadcasts nothing that grows.
 """
 
 from __future__ import annotations
@@ -75,15 +76,16 @@ def base_rules(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def trusted_ids(labels: DataFrame, trusted_rows: int) -> DataFrame:
-    """Ids of at most ``trusted_rows`` documents labelled as good, by hash order (a documented bound)."""
-    return labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled as good."""
+    return labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
-def ratios(docs: DataFrame, labels: DataFrame, *, buckets: int, smoothing: float, trusted_rows: int) -> DataFrame:
+def ratios(docs: DataFrame, labels: DataFrame, *, buckets: int, smoothing: float) -> DataFrame:
     """One row: ``ratio``, an array of log(target share / raw share) by bucket."""
-    trusted = F.broadcast(trusted_ids(labels, trusted_rows).withColumn("trusted", F.lit(1)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words")).join(trusted, "doc_id", "left")
+    trusted = trusted_ids(labels).withColumn("trusted", F.lit(1)).hint("merge")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(trusted, "doc_id", "left")
+    rows = rows.select("trusted", words_of(F.col("text")).alias("words"))  # after the join: texts are smaller than their words
     grams = rows.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(ngram_buckets(F.col("words"), buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
@@ -92,14 +94,14 @@ def ratios(docs: DataFrame, labels: DataFrame, *, buckets: int, smoothing: float
     return whole.select(F.transform("by", lambda c: F.log(share(c["target"], F.col("targets"))) - F.log(share(c["raw"], F.col("raws")))).alias("ratio"))
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, *, buckets: int = 1 << 14, smoothing: float = 1.0, threshold: float = -0.05, trusted_rows: int = 20_000) -> DataFrame:
+def quality_verdicts(docs: DataFrame, labels: DataFrame, *, buckets: int = 1 << 14, smoothing: float = 1.0, threshold: float = -0.05) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept for every row.
 
     A null or empty text has no words: its counts are 0, its score is 0 and the base rules reject it.
     Repeated rows are judged one by one; equal texts get equal scores.  Without trusted documents all
     ratios are those of an even target.  Other columns are ignored.
     """
-    found = ratios(docs, labels, buckets=buckets, smoothing=smoothing, trusted_rows=trusted_rows).select(F.to_json("ratio")).first()[0]
+    found = ratios(docs, labels, buckets=buckets, smoothing=smoothing).select(F.to_json("ratio")).first()[0]
     ratio = F.from_json(F.lit(found), "array<double>")  # folded to one constant array
     out = base_rules(docs).withColumn("grams", ngram_buckets(F.col("words"), buckets))
     total = F.aggregate("grams", F.lit(0.0), lambda s, g: s + F.get(ratio, g))

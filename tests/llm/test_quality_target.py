@@ -1,0 +1,10 @@
+from pyspark.sql import functions as F
+
+from cloakwork.llm import quality
+
+
+def test_target_covers_all_trusted(spark):
+    """With every document trusted the target is the corpus: all ratios are 0, however many documents there are."""
+    docs = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("w"), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    assert quality.quality_verdicts(docs, labels).filter(F.abs("score") > 1e-9).count() == 0
