@@ -1,6 +1,7 @@
 """License scans: a trained paragraph classifier over word n-grams, confirmed against templates.
 
-Paragraphs are the lines of a text.  Their features are the distinct lower-case words and word pairs,
+Paragraphs are the lines of a text and, for notices wrapped over lines, its blocks between blank lines
+with their line ends folded to spaces.  Their features are the distinct lower-case words and word pairs,
 hashed into ``buckets``; only buckets that a template fills carry weights.  A multinomial logistic
 regression (one class for each family, one for everything else) is fitted on the templates, on
 deterministic variations of them, and on lines of a bounded number of documents as background.  Its
@@ -72,6 +73,11 @@ TEMPLATES: dict[str, list[str]] = {
 MARKS = ",.;:()\"'/"
 #: What a confirmed paragraph must hold of one of its family's templates.
 LEAST_SHARE = 0.7
+#: What parts the blocks of a text: blank lines.
+BLANK = r"\n(?:[ \t\x0B\f\r]*\n)+"
+#: Words of a block judged at once, and how far the next piece begins: any template lies within one piece, and
+#: a piece fills few of the buckets, so a long block does not hold a template by chance.
+PIECE, PIECE_STEP = 120, 80
 NONE = "none"
 
 
@@ -164,7 +170,8 @@ def _lines(spark: SparkSession, rows: list[tuple[str, str, int]]) -> DataFrame:
 def train(docs: DataFrame, *, buckets: int, background_docs: int, background_lines: int, seed: int = 7) -> Classifier:
     """Fit on the templates and on lines of ``background_docs`` documents, by hash order (a documented bound).
 
-    Background lines that hold most of a template are left out: they may well be licences.
+    Background lines that hold most of a template, or that lie mostly within one (as lines of a wrapped
+    notice do), are left out: they may well be licences.
     """
     spark = docs.sparkSession
     hashed = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long")).alias("h")).filter("text IS NOT NULL")
@@ -175,7 +182,7 @@ def train(docs: DataFrame, *, buckets: int, background_docs: int, background_lin
     rows = lines.unionByName(_lines(spark, variations(seed, 24)))
     found = [(r[0], list(r[1]), r[2]) for r in rows.select("family", features(paragraph_words(F.col("line")), buckets), "fold").collect()]
     plain = template_features(spark, buckets)
-    near = lambda own: any(len(t & own) >= 0.6 * len(t) for ts in plain.values() for t in ts)
+    near = lambda own: any(len(t & own) >= 0.6 * min(len(t), max(len(own), 6)) for ts in plain.values() for t in ts)
     return fit([r for r in found if r[0] != NONE or not near(set(r[1]))], buckets)
 
 
@@ -196,7 +203,9 @@ def scan_licenses(docs: DataFrame, *, buckets: int = 1 << 13, background_docs: i
     ``families`` are the confirmed families, sorted and comma-joined; ``n_unknown`` counts paragraphs
     that look like a licence but agree with no template; ``probability`` and ``similarity`` are the
     highest among licence-like paragraphs (null without one); ``found`` holds them all.  A null or
-    empty text has no paragraphs.  Blank lines are none.  Rows are judged one by one, repeated ones
+    empty text has no paragraphs.  ``n_paragraphs`` counts lines; blank lines are none.  A block of
+    several lines is judged in overlapping pieces and counts once for each family that a template
+    confirms and that none of its own lines was confirmed for; blocks never count as unknown.  Rows are judged one by one, repeated ones
     too; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -208,20 +217,32 @@ def scan_licenses(docs: DataFrame, *, buckets: int = 1 << 13, background_docs: i
     own = lambda line: features(paragraph_words(line), buckets)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t\x0B\f\r]"))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines"))
+    blocks = F.transform(F.filter(F.split(text, BLANK), lambda x: F.instr(x, "\n") > 0), lambda x: F.replace(x, F.lit("\n"), F.lit(" ")))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines"), blocks.alias("blocks"))
+    starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - (PIECE - PIECE_STEP), F.lit(1)), F.lit(PIECE_STEP))
+    cut = lambda w, k: F.transform(starts(w), lambda i: F.struct(F.array_join(F.slice(w, i, F.lit(PIECE)), " ").alias("line"), k.alias("block")))
+    out = out.withColumn("words", F.transform("blocks", paragraph_words)).withColumn("pieces", F.flatten(F.transform("words", cut)))
     able = lambda line: F.aggregate(own(line), F.lit(float(bias.max())), lambda s, b: s + F.get(bound, b)) >= need
-    out = out.select("doc_id", F.size("lines").cast("long").alias("n_paragraphs"), F.transform(F.filter("lines", able), lambda x: F.struct(x.alias("line"), own(x).alias("own"))).alias("some"))
+    some = F.transform(F.filter("lines", able), lambda x: F.struct(x.alias("line"), F.lit(None).cast("int").alias("block")))
+    some = F.concat(some, F.filter("pieces", lambda c: able(c["line"])))
+    out = out.select("doc_id", "blocks", F.size("lines").cast("long").alias("n_paragraphs"), F.transform(some, lambda c: F.struct(c["line"].alias("line"), c["block"].alias("block"), own(c["line"]).alias("own"))).alias("some"))
     tables = [_constant(weights[:, k]) for k in range(len(model.families))]
     score = lambda c, t, start: F.aggregate(c["own"], F.lit(float(start)), lambda s, b: s + F.get(t, b))
     scores = lambda c: [score(c, t, bias[k]) for k, t in enumerate(tables)]
-    out = out.withColumn("some", F.transform("some", lambda c: F.struct(c["line"].alias("line"), c["own"].alias("own"), F.array(*scores(c)).alias("z"))))
+    out = out.withColumn("some", F.transform("some", lambda c: F.struct(c["line"].alias("line"), c["block"].alias("block"), c["own"].alias("own"), F.array(*scores(c)).alias("z"))))
     odds = lambda c: F.aggregate(c["z"], F.lit(0.0), lambda s, z: s + F.exp(z))
-    out = out.withColumn("some", F.transform("some", lambda c: F.struct(c["line"].alias("line"), c["own"].alias("own"), (odds(c) / (1 + odds(c))).alias("probability"), F.element_at(F.array(*map(F.lit, model.families)), F.array_position(c["z"], F.array_max(c["z"])).cast("int")).alias("family"))))
+    out = out.withColumn("some", F.transform("some", lambda c: F.struct(c["line"].alias("line"), c["block"].alias("block"), c["own"].alias("own"), (odds(c) / (1 + odds(c))).alias("probability"), F.element_at(F.array(*map(F.lit, model.families)), F.array_position(c["z"], F.array_max(c["z"])).cast("int")).alias("family"))))
     out = out.withColumn("some", F.filter("some", lambda c: c["probability"] >= model.least))
     plain = template_features(spark, buckets)
     share = lambda c, t: F.size(F.array_intersect(c["own"], F.from_json(F.lit(str(sorted(t))), "array<int>"))) / len(t)
     match = lambda c: reduce(lambda rest, f: F.when(c["family"] == f, F.greatest(*[share(c, t) for t in plain[f]], F.lit(0.0))).otherwise(rest), model.families, F.lit(0.0))
-    out = out.withColumn("found", F.transform("some", lambda c: F.struct(c["line"].alias("line"), c["family"].alias("family"), c["probability"].alias("probability"), match(c).alias("similarity")))).drop("some")
+    out = out.withColumn("found", F.transform("some", lambda c: F.struct(c["line"].alias("line"), c["block"].alias("block"), c["family"].alias("family"), c["probability"].alias("probability"), match(c).alias("similarity")))).drop("some")
+    alone = F.filter("found", lambda c: c["block"].isNull() & (c["similarity"] >= LEAST_SHARE))
+    wrapped = F.filter("found", lambda c: c["block"].isNotNull() & (c["similarity"] >= LEAST_SHARE))
+    out = out.withColumn("alone", alone).withColumn("wrapped", wrapped).withColumn("found", F.filter("found", lambda c: c["block"].isNull()))
+    known = lambda c: F.exists("alone", lambda a: (a["family"] == c["family"]) & F.contains(F.get("blocks", c["block"]), a["line"]))
+    before = lambda c, i: F.exists(F.slice("wrapped", F.lit(1), i), lambda a: (a["family"] == c["family"]) & (a["block"] == c["block"]))
+    out = out.withColumn("found", F.concat("found", F.filter("wrapped", lambda c, i: ~known(c) & ~before(c, i))))
     sure = F.filter("found", lambda c: c["similarity"] >= LEAST_SHARE)
     return out.select(
         "doc_id",

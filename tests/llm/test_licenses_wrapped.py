@@ -1,0 +1,16 @@
+import textwrap
+
+from cloakwork.llm import licenses
+
+
+def test_wrapped_notices(spark):
+    """Notices wrapped over lines are confirmed, also inside comments; a one-line notice counts once."""
+    long = {f: max(licenses.TEMPLATES[f], key=len) for f in ("mit", "bsd", "gpl", "lgpl")}
+    wrap = lambda x, mark="": "\n".join(mark + line for line in textwrap.wrap(x, 76))
+    prose = "Qumar velor tisk pelm.\nZint orun bastide alpha."
+    rows = [(i, f"{prose}\n\n{wrap(x)}\n \n{prose}") for i, x in enumerate(long.values())]
+    rows += [(10 + i, f"{wrap(x, '# ')}\n\n{prose}") for i, x in enumerate(long.values())]
+    rows += [(20, f"{prose}\nReleased under the MIT License.\n{prose}"), (21, prose), (22, None)]
+    got = {r["doc_id"]: (r["families"], r["n_confirmed"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {k + i: (f, 1) for k in (0, 10) for i, f in enumerate(long)}
+    assert got == want | {20: ("mit", 1), 21: ("", 0), 22: ("", 0)}
