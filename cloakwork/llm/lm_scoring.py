@@ -11,8 +11,10 @@ Texts of any length are scored in windows of ``WINDOW`` ids that overlap by ``WI
 overlap is context only, so each token is scored once; windows of many texts are one batch, and a mask
 hides later ids and those of other texts.
 
-The weights and the spelling table are fitted in numpy on at most ``sample_rows`` training rows; counts
-cover all training rows.  Counts of the ``frequent`` commonest words are broadcast (a fixed bound); the
+The class and spelling tables come from counts over all training rows (fixed-size tables).  The weights
+start from a fit on ``sample_rows`` training rows; then every core of the cluster goes once through all
+windows of its share of the training rows, and the weights that they reach are averaged by their windows,
+so windows and steps grow with the corpus.  Word counts cover all training rows.  Counts of the ``frequent`` commonest words are broadcast (a fixed bound); the
 others meet the counts in one join by word, of one row for each text and distinct rare word.
 """
 
@@ -78,17 +80,23 @@ class Words:
             self.spell = total[ends] - total[starts] + spelling[raw[ends - 1], 0]
 
 
-def spelling_table(column: pa.Array) -> np.ndarray:
-    """log P(byte | byte before it) over a sample's distinct words; byte 0 stands for a word's start and end."""
-    w = Words(column)
-    count = np.full((256, 256), 0.05)
+def byte_pairs(words: pa.Array) -> np.ndarray:
+    """Counts of (byte, byte before it) of some words, as 256 * before + byte; byte 0 stands for a word's start and end."""
+    out = np.zeros(1 << 16, np.int64)
+    w = Words(words)
     if len(w.names):
-        _, one = np.unique(w.names, return_index=True)
-        size = (w.ends - w.starts)[one]
-        place = np.repeat(w.starts[one] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-        before = np.where(np.isin(place, w.starts), 0, w.raw[np.maximum(place - 1, 0)])
-        np.add.at(count, (before, w.raw[place]), 1)
-        np.add.at(count, (w.raw[w.ends[one] - 1], 0), 1)
+        size = w.ends - w.starts
+        place = np.repeat(w.starts - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        before = np.r_[np.uint8(0), w.raw[:-1]]
+        before[w.starts] = 0
+        out += np.bincount(before[place].astype(np.int64) * 256 + w.raw[place], minlength=1 << 16)
+        out += np.bincount(w.raw[w.ends - 1].astype(np.int64) * 256, minlength=1 << 16)
+    return out
+
+
+def spelling_table(pairs: np.ndarray) -> np.ndarray:
+    """log P(byte | byte before it) from the counts of byte_pairs."""
+    count = pairs.reshape(256, 256) + 0.05
     return np.log(count / count.sum(1, keepdims=True))
 
 
@@ -155,16 +163,25 @@ class Attention:
     def fit(self, windows, *, steps: int = 500, batch: int = 192, rate: float = 0.01, seed: int = 9) -> float:
         """Adam on random batches; windows: (first, last, hidden, target, good)."""
         rng = np.random.default_rng(seed)
-        m = {n: np.zeros_like(x) for n, x in self.p.items()}
-        v = {n: np.zeros_like(x) for n, x in self.p.items()}
+        state = self.state()
         loss = 0.0
         for t in range(1, steps + 1):
             i = rng.integers(0, len(windows[0]), batch)
-            loss, g = self.gradients(*(w[i] for w in windows))
-            for n in self.p:
-                m[n] = 0.9 * m[n] + 0.1 * g[n]
-                v[n] = 0.98 * v[n] + 0.02 * g[n] * g[n]
-                self.p[n] -= (rate * (1 - t / (steps + 1)) * (m[n] / (1 - 0.9**t)) / (np.sqrt(v[n] / (1 - 0.98**t)) + 1e-8)).astype(np.float32)
+            loss = self.step(state, [w[i] for w in windows], rate * (1 - t / (steps + 1)))
+        return float(loss)
+
+    def state(self) -> dict:
+        return {"t": 0, "m": {n: np.zeros_like(x) for n, x in self.p.items()}, "v": {n: np.zeros_like(x) for n, x in self.p.items()}}
+
+    def step(self, state: dict, windows, rate: float) -> float:
+        """One step of Adam; returns the loss before it."""
+        loss, g = self.gradients(*windows)
+        state["t"] += 1
+        t, m, v = state["t"], state["m"], state["v"]
+        for n in self.p:
+            m[n] = 0.9 * m[n] + 0.1 * g[n]
+            v[n] = 0.98 * v[n] + 0.02 * g[n] * g[n]
+            self.p[n] -= (rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(v[n] / (1 - 0.98**t)) + 1e-8)).astype(np.float32)
         return float(loss)
 
 
@@ -195,17 +212,16 @@ def windows_of(words: Words):
     return np.where(inside, first[flat], IDS), np.where(inside, last[flat], IDS), hidden, np.where(inside, target[flat], 0), good, row
 
 
-def class_table(words: Words, groups: int = 12) -> np.ndarray:
+def class_table(neighbours: np.ndarray, groups: int = 12) -> np.ndarray:
     """Class of each first subword id: ids that follow and precede like ids share a group, large groups have several classes.
 
-    Groups are found among the leading singular vectors of the normalised counts of neighbours.
+    Groups are found among the leading singular vectors of the normalised counts of neighbours
+    (``neighbours``: how often an id follows another).
     """
     out = np.arange(IDS) % CLASSES
-    near = np.flatnonzero(words.row[1:] == words.row[:-1])
-    if len(near) < 1000:
+    if neighbours.sum() < 1000:
         return out
-    count = np.zeros((IDS, IDS), np.float32)
-    np.add.at(count, (words.first[near], words.first[near + 1]), 1)
+    count = neighbours.astype(np.float32)
     count = count + count.T
     total = count.sum(1) + 1e-3
     vectors, values, _ = np.linalg.svd(count / np.sqrt(total[:, None] * total[None, :]), hermitian=True)
@@ -247,26 +263,93 @@ class Model:
         return out
 
 
-def train(texts: list[bytes], *, steps: int = 500, seed: int = 5) -> Model:
-    """Fit the weights and the spelling table on sample texts."""
-    column = pa.array(texts or [b""], pa.binary())
+def train(texts: list[bytes], table: np.ndarray, *, steps: int = 500, seed: int = 5) -> Attention:
+    """Weights to start from, fitted on sample texts."""
     attention = Attention(seed)
-    table = class_table(Words(column))
-    first, last, hidden, target, good, _ = windows_of(Words(column, table=table))
+    first, last, hidden, target, good, _ = windows_of(Words(pa.array(texts or [b""], pa.binary()), table=table))
     attention.fit((first, last, hidden, target, good), steps=steps)
-    return Model(attention, spelling_table(column), table)
+    return attention
 
 
-def _counts(model):
+def _passes(model, batch: int = 192, rate: float = 0.002):
+    """(windows, weights): the weights after one pass of Adam over all windows of a task's rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=2 * STEP):
-            w = Words(batch.column(1), table=model.value.table)
-            name, one, count = np.unique(w.names, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(w.classes[one].astype(np.int32)), pa.array(count)], ["name", "class", "count"])
+        attention = Attention()
+        attention.p = {n: x.copy() for n, x in model.value.attention.p.items()}
+        state = attention.state()
+        rng, seen, held = np.random.default_rng(9), 0, None
+        for rows in slices(batches, limit=STEP // 4):
+            new = windows_of(Words(rows.column(1), table=model.value.table))[:5]
+            held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
+            order = rng.permutation(len(held[0]))
+            full = len(order) // batch * batch
+            for a in range(0, full, batch):
+                attention.step(state, [w[order[a : a + batch]] for w in held], rate)
+            seen += full
+            held = tuple(w[order[full:]] for w in held)
+        if held is not None and len(held[0]):
+            attention.step(state, held, rate * len(held[0]) / batch)
+            seen += len(held[0])
+        if seen:
+            flat = np.concatenate([x.ravel() for x in attention.p.values()]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["windows", "weights"])
 
     return run
 
 
+def refined(model, training: DataFrame) -> Attention:
+    """One pass over all training rows, cut into as many tasks as the cluster has cores (each returns its weights)."""
+    tasks = training.coalesce(max(1, training.sparkSession.sparkContext.defaultParallelism))
+    found = tasks.mapInArrow(_passes(model), "windows long, weights binary").collect()
+    out = Attention()
+    out.p = {n: x.copy() for n, x in model.value.attention.p.items()}
+    if found:
+        total = sum(r[0] for r in found)
+        flat = sum(np.frombuffer(r[1], np.float32).astype(np.float64) * (r[0] / total) for r in found)
+        at = 0
+        for n, x in out.p.items():
+            out.p[n] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
+            at += x.size
+    return out
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, first, word, count) of words, and with first -1 (IDS * id + next id, -1, null, count) of neighbours."""
+    near = np.zeros(IDS * IDS, np.int64)
+    names = ["name", "first", "word", "count"]
+    for batch in slices(batches, limit=2 * STEP):
+        w = Words(batch.column(1))
+        if not len(w.names):
+            continue
+        same = np.flatnonzero(w.row[1:] == w.row[:-1])
+        near += np.bincount(w.first[same] * IDS + w.first[same + 1], minlength=IDS * IDS)
+        name, one, count = np.unique(w.names, return_index=True, return_counts=True)
+        size = (w.ends - w.starts)[one]
+        ends = np.cumsum(size)
+        data = w.raw[np.repeat(w.starts[one] - np.r_[0, ends[:-1]], size) + np.arange(ends[-1])]
+        word = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(data)])
+        yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(w.first[one].astype(np.int32)), word, pa.array(count)], names)
+    found = np.flatnonzero(near)
+    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), -1, np.int32)), pa.nulls(len(found), pa.binary()), pa.array(near[found])], names)
+
+
+def _spellings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = np.zeros(1 << 16, np.int64)
+    for batch in slices(batches, text=0, limit=STEP):
+        out += byte_pairs(batch.column(0))
+    found = np.flatnonzero(out)
+    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(out[found])], ["pair", "count"])
+
+
+def _dense(rows: DataFrame, size: int) -> np.ndarray:
+    """A table of ``size`` counts from rows (place, count)."""
+    found = rows.toArrow()
+    out = np.zeros(size, np.int64)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out
+
+
 class Statistics:
     """What scoring needs of the corpus: totals, by class, and the commonest words."""
 
@@ -335,6 +418,23 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD, F.lit(False))
 
 
+def learned(training: DataFrame, sample_rows: int, steps: int):
+    """(broadcast model, counts of words by name with their class) of training rows (doc, text, crc)."""
+    context = training.sparkSession.sparkContext
+    found = training.mapInArrow(_counts, "name long, first int, word binary, count long").groupBy("name", "first", "word").agg(F.sum("count").alias("count"))
+    found = written(found, "counts")
+    words = found.filter("first >= 0")
+    table = class_table(_dense(found.filter("first < 0").select("name", "count"), IDS * IDS).reshape(IDS, IDS))
+    pairs = words.select("word").mapInArrow(_spellings, "pair long, count long").groupBy("pair").agg(F.sum("count").alias("count"))
+    spelling = spelling_table(_dense(pairs, 1 << 16))
+    last = training.select(F.xxhash64("doc").alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    sample = training.filter(F.xxhash64("doc") <= F.lit(last if last is not None else 0)).orderBy("doc", "crc").limit(sample_rows).select("text").collect()
+    start = context.broadcast(Model(train([bytes(r[0]) for r in sample], table, steps=steps), spelling, table))
+    model = context.broadcast(Model(refined(start, training), spelling, table))
+    classes = F.from_json(F.lit(str(table.tolist())), "array<int>")
+    return model, words.select("name", F.get(classes, F.col("first")).alias("class"), "count")
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sample_rows: int = 800, frequent: int = 1 << 16, steps: int = 500) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, spelled_score.
 
@@ -347,11 +447,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("doc"), text.alias("text"), F.hash(text).alias("crc"))
     training = rows.filter(~held_out(F.nullif("doc", F.lit(none))))
-    last = training.select(F.xxhash64("doc").alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
-    sample = training.filter(F.xxhash64("doc") <= F.lit(last if last is not None else 0)).orderBy("doc", "crc").limit(sample_rows).select("text").collect()
-    model = spark.sparkContext.broadcast(train([bytes(r[0]) for r in sample], steps=steps))
-
-    counts = written(training.mapInArrow(_counts(model), "name long, class int, count long").groupBy("name").agg(F.first("class").alias("class"), F.sum("count").alias("count")), "counts")
+    model, counts = learned(training, sample_rows, steps)
     ends = training.count()
     by_class = np.zeros((CLASSES, 2))
     for r in counts.groupBy("class").agg(F.sum("count"), F.count(F.lit(1))).collect():
