@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMAS = {"text": "norm_key string, pseudonym string", "numeric": "col string, coefficient double", "columns": "col string", "verdicts": "col string, verdict string"}
@@ -34,14 +34,32 @@ def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def fuzzy_candidates(values: DataFrame, known: DataFrame, threshold: int = 85) -> DataFrame:
     """(value, best, score): the most similar stored key of each value, by Indel ratio of sorted words, at least ``threshold``.
 
-    Pairs are blocked by length (a ratio r needs lengths within (2 - r) / r) and by first character
-    of the sorted key, and screened by edit distance.
+    The ratio is 100 * 2 * LCS / (both lengths).  Every pair whose lengths allow the threshold (a ratio r
+    needs lengths within (2 - r) / r) is screened by edit distance, which never exceeds the Indel
+    distance, so no match is lost; what remains is scored by its longest common subsequence.
     """
     sort = lambda c: F.array_join(F.array_sort(F.split(c, " ")), " ")
-    a = values.select("value", sort(F.col("value")).alias("x"))
-    b = known.select(F.col("norm_key").alias("best"), sort(F.col("norm_key")).alias("y"))
-    total = F.length("x") + F.length("y")
+    a = values.select("value", sort(F.col("value")).alias("x")).withColumn("n", F.length("x"))
+    b = known.select(F.col("norm_key").alias("best"), sort(F.col("norm_key")).alias("y")).withColumn("m", F.length("y"))
+    total = F.col("n") + F.col("m")
     room = F.floor(total * (100 - threshold) / 100).cast("int")
-    near = a.join(b, (F.substring("x", 1, 1) == F.substring("y", 1, 1)) & (F.abs(F.length("x") - F.length("y")) <= room))
-    near = near.filter(F.levenshtein("x", "y") <= room).withColumn("score", F.round(100 * (1 - F.levenshtein("x", "y") / total), 6))
+    longest = F.floor(F.col("n") * (200 - threshold) / max(threshold, 1)).cast("int")
+    shortest = F.ceil(F.col("n") * threshold / (200 - threshold)).cast("int")
+    a = a.withColumn("m", F.explode(F.sequence(F.least(shortest, longest), longest)))  # lengths that can match: an equi-join
+    near = a.join(b, "m").filter(F.abs(F.col("n") - F.col("m")) <= room).filter(F.levenshtein("x", "y") <= room)
+    near = near.withColumn("score", F.when(total == 0, 100.0).otherwise(F.round(200 * common_length(F.col("x"), F.col("y")) / total, 6)))
     return near.filter(F.col("score") >= threshold).groupBy("value").agg(F.max_by("best", F.struct("score", "best")).alias("best"), F.max("score").alias("score"))
+
+
+def common_length(x: Column, y: Column) -> Column:
+    """Length of the longest common subsequence of two texts, row by row of the usual table."""
+    chars = lambda c: F.filter(F.split(c, ""), lambda ch: ch != "")
+    xs, ys = chars(x), chars(y)
+    zeros = F.transform(F.sequence(F.lit(0), F.size(ys)), lambda i: F.lit(0))
+
+    def line(above: Column, ch: Column) -> Column:
+        cell = lambda row, i: F.concat(row, F.array(F.when(F.get(ys, i) == ch, F.get(above, i) + 1).otherwise(F.greatest(F.get(above, i + 1), F.get(row, i)))))
+        steps = F.filter(F.sequence(F.lit(0), F.size(ys)), lambda i: i < F.size(ys))
+        return F.aggregate(steps, F.array(F.lit(0)), cell)
+
+    return F.element_at(F.aggregate(xs, zeros, line), -1)
