@@ -14,8 +14,9 @@ hides later ids and those of other texts.
 The class and spelling tables come from counts over all training rows (fixed-size tables).  The weights
 start from a fit on ``sample_rows`` training rows; then every core of the cluster goes once through all
 windows of its share of the training rows, and the weights that they reach are averaged by their windows,
-so windows and steps grow with the corpus.  Word counts cover all training rows.  Counts of the ``frequent`` commonest words are broadcast (a fixed bound); the
-others meet the counts in one join by word, of one row for each text and distinct rare word.
+so windows and steps grow with the corpus.  Word counts cover all training rows.  Counts of the commonest
+words (``frequent`` at most, a fixed bound) are broadcast; the others meet the counts in one join by word, of one
+row for each text and distinct rare word.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.shared import mix, signed, slices, word_names, written
+from cloakwork.llm.shared import mix, signed, slices, word_parts, written
 
 CLASSES = 64
 IDS = 1024
@@ -36,35 +38,20 @@ WIDTH = 16
 STEP = 2_000_000
 LN10 = float(np.log(10))
 FOLDS, HELD = 7, 2
+#: Rows of the starting fit hold so many bytes at most; longer ones are met in the pass over all rows.
+SAMPLE_BYTES = 1 << 15
 
 
 class Words:
     """Names, counts, subword ids, classes and spelling scores of a binary column's lower-cased words."""
 
     def __init__(self, column: pa.Array, spelling: np.ndarray | None = None, table: np.ndarray | None = None):
-        self.names, self.counts = word_names(column, lower=True)
+        self.names, self.counts, raw, starts, ends = word_parts(column, lower=True)
         self.row = np.repeat(np.arange(len(column)), self.counts)
-        n = len(column)
-        _, places, data = column.buffers()
         if not len(self.names):
             self.first = self.last = self.classes = np.zeros(0, np.int64)
             self.spell = np.zeros(0)
             return
-        offsets = np.frombuffer(places, np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
-        raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].copy()
-        upper = (raw >= 65) & (raw <= 90)
-        raw[upper] += 32
-        space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-        # words never span rows: find their bounds as word_names does
-        begin, close = ~space, ~space
-        begin[1:] &= space[:-1]
-        close[:-1] &= space[1:]
-        inner = (offsets - offsets[0])[1:-1]
-        edge = inner[inner < len(raw)]
-        begin[edge] = ~space[edge]
-        edge = inner[inner > 0] - 1
-        close[edge] = ~space[edge]
-        starts, ends = np.flatnonzero(begin), np.flatnonzero(close) + 1
         size = ends - starts
         at = lambda i, good: np.where(good, raw[np.clip(i, 0, len(raw) - 1)], 0).astype(np.uint64)
         head = at(starts, size > 0) | at(starts + 1, size > 1) << np.uint64(8) | at(starts + 2, size > 2) << np.uint64(16)
@@ -100,6 +87,13 @@ def spelling_table(pairs: np.ndarray) -> np.ndarray:
     return np.log(count / count.sum(1, keepdims=True))
 
 
+def exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(z, exp(z)) after a shift that keeps the exponentials in range: of all at once where they lie close enough, else row by row."""
+    top = z.max()
+    z -= top if top - z.min() < 60 else z.max(-1, keepdims=True)
+    return z, np.exp(z)
+
+
 class Attention:
     """Weights of the model and its forward and backward passes on batches of windows."""
 
@@ -116,48 +110,53 @@ class Attention:
             "out": new(d, CLASSES + 1, scale=0.2),
             "bias": np.zeros(CLASSES + 1, np.float32),
         }
-        self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+        self.open = np.tril(np.ones((WINDOW, WINDOW), np.float32))  # no place sees later ones
 
     def forward(self, first: np.ndarray, last: np.ndarray, hidden: np.ndarray):
-        """log P(class) at each place; hidden: how many of a window's first places hold nothing."""
+        """(z, e, total, parts): P(class) at each place is e / total, its logarithm z - log(total).
+
+        ``hidden``: how many of a window's first places hold nothing.
+        """
         p, d = self.p, WIDTH
         x = p["first"][first] + p["last"][last] + p["place"]
         q, k, v = np.split(x @ p["qkv"], 3, axis=2)
-        s = q @ k.transpose(0, 2, 1) * np.float32(d**-0.5) + self.mask
+        a = exponentials(q @ k.transpose(0, 2, 1) * np.float32(d**-0.5))[1] * self.open
         if hidden.any():
-            s = np.where(np.arange(WINDOW)[None, None, :] < hidden[:, None, None], np.float32(-1e9), s)
-        s -= s.max(2, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(2, keepdims=True)
-        h = s @ v
+            some = np.flatnonzero(hidden)
+            a[some] *= np.arange(WINDOW)[None, None, :] >= hidden[some][:, None, None]
+        a /= (a @ np.ones(WINDOW, np.float32))[:, :, None] + np.float32(1e-30)  # a hidden place sees nothing
+        h = a @ v
         y = h @ p["mix"] + x
-        z = y @ p["out"] + p["bias"]
-        z -= z.max(2, keepdims=True)
-        z -= np.log(np.exp(z).sum(2, keepdims=True))
-        return z, (x, q, k, v, s, h, y)
+        z, e = exponentials(y @ p["out"] + p["bias"])
+        return z, e, e @ np.ones(CLASSES + 1, np.float32), (x, q, k, v, a, h, y)
 
     def gradients(self, first, last, hidden, target, good):
-        z, (x, q, k, v, a, h, y) = self.forward(first, last, hidden)
+        z, e, total, (x, q, k, v, a, h, y) = self.forward(first, last, hidden)
         p, d = self.p, WIDTH
         b, w = target.shape
-        g = np.exp(z)
-        g[np.arange(b)[:, None], np.arange(w)[None, :], target] -= 1
-        g *= good[:, :, None] / max(1, good.sum())
-        out = {"out": np.einsum("bwd,bwc->dc", y, g), "bias": g.sum((0, 1))}
+        flat = lambda t: t.reshape(b * w, -1)
+        own = target[:, :, None]
+        loss = -((np.take_along_axis(z, own, 2)[:, :, 0] - np.log(total)) * good).sum() / max(1, good.sum())
+        g = e / total[:, :, None]
+        np.put_along_axis(g, own, np.take_along_axis(g, own, 2) - 1, 2)
+        g *= (good / np.float32(max(1, good.sum()))).astype(np.float32)[:, :, None]
+        out = {"out": flat(y).T @ flat(g), "bias": flat(g).sum(0)}
         dy = g @ p["out"].T
-        out["mix"] = np.einsum("bwd,bwe->de", h, dy)
+        out["mix"] = flat(h).T @ flat(dy)
         dh = dy @ p["mix"].T
         da = dh @ v.transpose(0, 2, 1)
         dv = a.transpose(0, 2, 1) @ dh
         ds = a * (da - (da * a).sum(2, keepdims=True)) * np.float32(d**-0.5)
         dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, dv], axis=2)
-        out["qkv"] = np.einsum("bwd,bwe->de", x, dqkv)
+        out["qkv"] = flat(x).T @ flat(dqkv)
         dx = dqkv @ p["qkv"].T + dy
         out["place"] = dx.sum(0)
-        for name, ids in (("first", first), ("last", last)):
+        for name, ids in (("first", first), ("last", last)):  # sums by id: rows sorted by id, added up in runs
+            order = np.argsort(ids.ravel(), kind="stable")
+            run = ids.ravel()[order]
+            begin = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
             out[name] = np.zeros_like(p[name])
-            np.add.at(out[name], ids, dx)
-        loss = -(np.take_along_axis(z, target[:, :, None], 2)[:, :, 0] * good).sum() / max(1, good.sum())
+            out[name][run[begin]] = np.add.reduceat(flat(dx)[order], begin)
         return loss, out
 
     def fit(self, windows, *, steps: int = 500, batch: int = 192, rate: float = 0.01, seed: int = 9) -> float:
@@ -255,10 +254,10 @@ class Model:
         """Sum of log P(class) over each row's tokens, the end included."""
         first, last, hidden, target, good, row = windows_of(words)
         out = np.zeros(len(words.counts))
-        for a in range(0, len(row), 1024):
-            b = slice(a, a + 1024)
-            z, _ = self.attention.forward(first[b], last[b], hidden[b])
-            own = np.take_along_axis(z, target[b][:, :, None], 2)[:, :, 0]
+        for a in range(0, len(row), 256):
+            b = slice(a, a + 256)
+            z, _, total, _ = self.attention.forward(first[b], last[b], hidden[b])
+            own = np.take_along_axis(z, target[b][:, :, None], 2)[:, :, 0] - np.log(total)
             np.add.at(out, row[b], np.where(good[b], own, 0).sum(1, dtype=np.float64))
         return out
 
@@ -377,39 +376,35 @@ class Statistics:
         return np.log(count / (self.by_class[classes, 0] + self.by_class[classes, 1]))
 
 
-def _totals(model, statistics):
-    """Per row: tokens, known ones, base and model sums, as far as the commonest words and classes go."""
+SCORED = "row long, doc long, n_tokens long, known long, base double, model double, rare array<struct<name:long,times:int,class:int,spell:float>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, s = model.value, statistics.value
-        for batch in slices(batches, limit=STEP):
-            w = Words(batch.column(1), table=m.table)
-            count = s.known(signed(w.names))
-            often = count > 0
-            n = batch.num_rows
-            sums = lambda x: np.bincount(w.row[often], x, minlength=n)  # noqa: E731, B023
-            columns = [w.counts + 1, sums(np.ones(often.sum())).astype(np.int64), sums(s.base(count[often])), sums(s.within(count[often], w.classes[often])) + m.class_scores(w)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.array, columns)], ["doc", "crc", "n_tokens", "known", "base", "model"])
-
-    return run
 
-
-def _rare(model, statistics):
-    """(name, doc, crc, times, own_class, spell): a text's distinct words beyond the commonest, with their class and spelling score."""
+def _scored(model, statistics):
+    """Per row: a row number, tokens, known ones, base and model sums, as far as the commonest words and classes go, and
+    the distinct other words with their times, class and spelling score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, s = model.value, statistics.value
+        number = TaskContext.get().partitionId() << 33
         for batch in slices(batches, limit=STEP):
             w = Words(batch.column(1), m.spelling, m.table)
-            rare = np.flatnonzero(s.known(signed(w.names)) == 0)
-            if not len(rare):
-                continue
+            count = s.known(signed(w.names))
+            often = count > 0
+            n = batch.num_rows
+            sums = lambda x: np.bincount(w.row[often], x, minlength=n).astype(np.float64)  # noqa: E731, B023
+            rare = np.flatnonzero(~often)
             order = rare[np.lexsort((w.names[rare], w.row[rare]))]
-            new = np.r_[True, (w.names[order][1:] != w.names[order][:-1]) | (w.row[order][1:] != w.row[order][:-1])]
+            new = np.ones(len(order), bool)
+            new[1:] = (w.names[order][1:] != w.names[order][:-1]) | (w.row[order][1:] != w.row[order][:-1])
             one = order[new]
             times = np.diff(np.r_[np.flatnonzero(new), len(order)])
-            own = pa.array(w.row[one])
-            yield pa.RecordBatch.from_arrays([pa.array(signed(w.names[one])), batch.column(0).take(own), batch.column(2).take(own), pa.array(times.astype(np.int32)), pa.array(w.classes[one].astype(np.int8)), pa.array(w.spell[one].astype(np.float32))], ["name", "doc", "crc", "times", "own_class", "spell"])
+            ends = np.searchsorted(w.row[one], np.arange(n + 1)).astype(np.int32)
+            parts = [pa.array(signed(w.names[one])), pa.array(times.astype(np.int32)), pa.array(w.classes[one].astype(np.int32)), pa.array(w.spell[one].astype(np.float32))]
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, ["name", "times", "class", "spell"]))
+            columns = [number + np.arange(n), w.counts + 1, sums(np.ones(often.sum())).astype(np.int64), sums(s.base(count[often])), sums(s.within(count[often], w.classes[often])) + m.class_scores(w)]
+            first, *rest = map(pa.array, columns)
+            number += n
+            yield pa.RecordBatch.from_arrays([first, batch.column(0), *rest, lists], ["row", "doc", "n_tokens", "known", "base", "model", "rare"])
 
     return run
 
@@ -419,7 +414,7 @@ def held_out(doc_id):
 
 
 def learned(training: DataFrame, sample_rows: int, steps: int):
-    """(broadcast model, counts of words by name with their class) of training rows (doc, text, crc)."""
+    """(broadcast model, counts of words by name with their class) of training rows (doc, text)."""
     context = training.sparkSession.sparkContext
     found = training.mapInArrow(_counts, "name long, first int, word binary, count long").groupBy("name", "first", "word").agg(F.sum("count").alias("count"))
     found = written(found, "counts")
@@ -427,56 +422,68 @@ def learned(training: DataFrame, sample_rows: int, steps: int):
     table = class_table(_dense(found.filter("first < 0").select("name", "count"), IDS * IDS).reshape(IDS, IDS))
     pairs = words.select("word").mapInArrow(_spellings, "pair long, count long").groupBy("pair").agg(F.sum("count").alias("count"))
     spelling = spelling_table(_dense(pairs, 1 << 16))
-    last = training.select(F.xxhash64("doc").alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
-    sample = training.filter(F.xxhash64("doc") <= F.lit(last if last is not None else 0)).orderBy("doc", "crc").limit(sample_rows).select("text").collect()
+    short = training.filter(F.octet_length("text") <= SAMPLE_BYTES)
+    last = short.select(F.xxhash64("doc").alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    sample = short.filter(F.xxhash64("doc") <= F.lit(last if last is not None else 0)).orderBy("doc", "text").limit(sample_rows).select("text").collect()
     start = context.broadcast(Model(train([bytes(r[0]) for r in sample], table, steps=steps), spelling, table))
     model = context.broadcast(Model(refined(start, training), spelling, table))
     classes = F.from_json(F.lit(str(table.tolist())), "array<int>")
     return model, words.select("name", F.get(classes, F.col("first")).alias("class"), "count")
 
 
+def commonest(counts: DataFrame, most: int) -> DataFrame:
+    """Words (name, count) from the least count on that leaves ``most`` of them at most, found from a histogram of counts."""
+    step = F.floor(F.log2("count") * 16).cast("int")  # few steps, whatever the counts
+    found = sorted(((r[0], r[1]) for r in counts.groupBy(step.alias("step")).count().collect()), reverse=True)
+    total, least = 0, None
+    for at, n in found:
+        total += n
+        if total > most:
+            break
+        least = at
+    return counts.filter(step >= F.lit(least if least is not None else 1 << 30)).select("name", "count")
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sample_rows: int = 800, frequent: int = 1 << 16, steps: int = 500) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, spelled_score.
 
-    Learns from rows whose crc32(doc_id as text) mod 7 is not 2 (a null id learns, too).  A null or
-    empty text is one end token.  Repeated rows count each and are scored each; other columns are
-    ignored; an empty table gives no rows.
+    ``score`` is the log10 probability of the text where an unknown word, as in ``base_score``, is one event: it
+    compares with the base on the same events.  ``spelled_score`` is that of the text with every unknown word's
+    bytes paid for, too.  Learns from rows whose crc32(doc_id as text) mod 7 is not 2 (a null id learns, too).
+    A null or empty text is one end token.  Texts of any length are scored whole.  Repeated rows count each and
+    are scored each, ties alike; other columns are ignored, whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    none = -(1 << 63)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("doc"), text.alias("text"), F.hash(text).alias("crc"))
-    training = rows.filter(~held_out(F.nullif("doc", F.lit(none))))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"))
+    training = rows.filter(~held_out(F.col("doc")))
     model, counts = learned(training, sample_rows, steps)
     ends = training.count()
     by_class = np.zeros((CLASSES, 2))
     for r in counts.groupBy("class").agg(F.sum("count"), F.count(F.lit(1))).collect():
         by_class[r[0]] = r[1], r[2]
-    top = counts.orderBy(F.desc("count"), "name").limit(frequent).select("name", "count").collect()
+    top = commonest(counts, frequent).toArrow()
     tokens, distinct = int(by_class[:, 0].sum()) + ends, int(by_class[:, 1].sum()) + (ends > 0)
-    statistics = spark.sparkContext.broadcast(Statistics(tokens, distinct, by_class, np.asarray([r[0] for r in top], np.int64), np.asarray([r[1] for r in top], np.int64)))
+    statistics = spark.sparkContext.broadcast(Statistics(tokens, distinct, by_class, top.column(0).to_numpy().astype(np.int64), top.column(1).to_numpy().astype(np.int64)))
 
-    rare = rows.mapInArrow(_rare(model, statistics), "name long, doc long, crc int, times int, own_class byte, spell float")
+    scored = written(rows.mapInArrow(_scored(model, statistics), SCORED), "scored")  # once, so a row's number is its own
+    rare = scored.select("row", F.inline("rare"))
     escapes = F.from_json(F.lit("[" + ",".join(repr(float(x)) for x in statistics.value.escape(np.arange(CLASSES))) + "]"), "array<double>")
     sizes = F.from_json(F.lit("[" + ",".join(repr(float(n + v)) for n, v in by_class) + "]"), "array<double>")
-    word = F.when(F.col("count").isNotNull(), F.log(F.col("count") / F.get(sizes, F.col("class")))).otherwise(F.get(escapes, F.col("own_class").cast("int")))
+    word = F.when(F.col("count").isNotNull(), F.log(F.col("count") / F.get(sizes, F.col("class")))).otherwise(F.get(escapes, F.col("class")))
     spell = F.when(F.col("count").isNull(), F.col("spell").cast("double")).otherwise(0.0)
     base = F.log((F.coalesce("count", F.lit(0)) + 1) / F.lit(float(tokens + distinct + 1)))
-    met = rare.join(counts, "name", "left").select("doc", "crc", F.when(F.col("count").isNotNull(), F.col("times")).otherwise(0).alias("known"), (F.col("times") * base).alias("base"), (F.col("times") * word).alias("word"), (F.col("times") * spell).alias("spell"))
-    more = met.groupBy("doc", "crc").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("word").alias("more_word"), F.sum("spell").alias("more_spell"))
-    totals = written(rows.mapInArrow(_totals(model, statistics), "doc long, crc int, n_tokens long, known long, base double, model double"), "totals")
-    copies = totals.groupBy("doc", "crc").agg(F.count(F.lit(1)).alias("copies"))  # equal rows gave their rare words once each
+    met = rare.join(counts.select("name", "count"), "name", "left").select("row", F.when(F.col("count").isNotNull(), F.col("times")).otherwise(0).alias("known"), (F.col("times") * base).alias("base"), (F.col("times") * word).alias("word"), (F.col("times") * spell).alias("spell"))
+    more = met.groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("word").alias("more_word"), F.sum("spell").alias("more_spell"))
     end = float(np.log((ends + 1) / (tokens + distinct + 1)))
-    zero = F.lit(0.0)
-    out = totals.join(copies.join(more, ["doc", "crc"]), ["doc", "crc"], "left")
-    doc = F.nullif("doc", F.lit(none))
-    return out.select(
-        doc.alias("doc_id"),
-        held_out(doc).alias("held_out"),
+    plus = lambda c: F.coalesce(c, F.lit(0.0))
+    return scored.drop("rare").join(more, "row", "left").select(
+        F.col("doc").alias("doc_id"),
+        held_out(F.col("doc")).alias("held_out"),
         "n_tokens",
-        (F.col("known") + F.coalesce(F.col("more_known") / F.col("copies"), zero).cast("long") + F.lit(int(ends > 0))).alias("n_known"),
+        (F.col("known") + F.coalesce("more_known", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        ((F.col("base") + F.coalesce(F.col("more_base") / F.col("copies"), zero) + end) / LN10).alias("base_score"),
-        ((F.col("model") + F.coalesce(F.col("more_word") / F.col("copies"), zero)) / LN10).alias("score"),
-        ((F.col("model") + F.coalesce((F.col("more_word") + F.col("more_spell")) / F.col("copies"), zero)) / LN10).alias("spelled_score"),
+        ((F.col("base") + plus(F.col("more_base")) + end) / LN10).alias("base_score"),
+        ((F.col("model") + plus(F.col("more_word"))) / LN10).alias("score"),
+        ((F.col("model") + plus(F.col("more_word") + F.col("more_spell"))) / LN10).alias("spelled_score"),
     )

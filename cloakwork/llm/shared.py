@@ -19,10 +19,13 @@ CHUNK_BYTES = 6_000_000
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (as in tests) a local default is set.
+    Where the session names none, a folder of this machine is set in local mode (as in tests); on a cluster,
+    whose machines would each write to their own, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file:///tmp/checkpoints/cloakwork"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -86,6 +89,10 @@ def chunks(batches: Iterable[pa.RecordBatch], text: int = 1, limit: int = CHUNK_
 #: Odd base of the polynomial that fingerprints a word, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Which bytes are white space, and A-Z as a-z.
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 #: Words beyond this many bytes get their fingerprint from a strong hash instead.
 LONG_WORD = 200
 
@@ -109,24 +116,26 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def word_names(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(names, counts): a 64-bit fingerprint of each word of a binary column, and each row's number of words.
+def word_parts(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(names, counts, raw, starts, ends) of a binary column's words: a 64-bit fingerprint of each, each row's number of words,
+    the rows' joined bytes (A-Z folded if ``lower``) and where in them each word begins and ends.
 
-    Words are runs of bytes other than the six ASCII white-space characters; ``lower`` folds A-Z.  A
+    Words are runs of bytes other than the six ASCII white-space characters.  A
     fingerprint depends on the word's bytes alone.  All words of the column are done at once: sums of
     byte values times powers of an odd base, cut at the words' ends and shifted to a common power.
     """
     n = len(column)
     large = pa.types.is_large_binary(column.type)
     _, places, data = column.buffers()
+    empty = np.zeros(0, np.uint64), np.zeros(n, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not n or data is None:
-        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
+        return empty
     offsets = np.frombuffer(places, np.int64 if large else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
     if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
-    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+        return empty
+    space = SPACE[raw]
     begin = ~space
     begin[1:] &= space[:-1]
     inner = offsets[1:-1][offsets[1:-1] < len(raw)]
@@ -142,10 +151,16 @@ def word_names(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     sums[0] = 0
     np.cumsum(_byte_values(lower)[raw] * power[: len(raw)], out=sums[1:])
     names = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    if lower:
+        raw = LOWER[raw]
     for i in np.flatnonzero(ends - starts > LONG_WORD):
-        word = raw[starts[i] : ends[i]].tobytes()
-        names[i] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)
-    return names, np.diff(np.searchsorted(starts, offsets))
+        names[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes())
+    return names, np.diff(np.searchsorted(starts, offsets)), raw, starts, ends
+
+
+def word_names(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The first two of word_parts."""
+    return word_parts(column, lower)[:2]
 
 
 def signed(x: np.ndarray) -> np.ndarray:
