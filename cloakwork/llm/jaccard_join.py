@@ -40,8 +40,8 @@ SHINGLE = 5
 LIGHT_BITS = 62
 #: Bytes of text that a task works on at a time.
 STEP = 5_000_000
-#: Bits of the bitmap that preselects classes.
-BITMAP = 1 << 22
+#: Classes to compare up to which their names travel as a bitmap of 16 bits each (16 MB at most); beyond, rows meet them in a join.
+BITMAP_CLASSES = 1 << 23
 #: Sets that are compared with one class by one task.
 BLOCK = 256
 
@@ -146,62 +146,100 @@ def _prefixes(heavy, shingle: int, percent: int):
     return run
 
 
-def _chosen(heavy, bitmap, shingle: int):
+def _chosen(heavy, bitmap, size: int, shingle: int):
     """(class, tokens) of classes that the bitmap may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, np.uint8)
         for batch in slices(batches, limit=STEP):
             s = Sets(batch.column(1), heavy.value, shingle)
             rows = s.distinct()
-            rows = rows[in_bitmap(bits, s.names[rows])]
-            at, _ = s.members(rows, s.sizes[rows])
-            ends = np.r_[0, np.cumsum(s.sizes[rows])].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(s.names[rows]), pa.ListArray.from_arrays(pa.array(ends), pa.array(s.flat[at]))], ["class", "tokens"])
+            yield spelled(s, rows[in_bitmap(bitmap.value, s.names[rows], size)])
+
+    return run
+
+
+def _named(shingle: int):
+    """(class, text): one row of each class of a chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=STEP):
+            s = Sets(batch.column(1), NONE, shingle)
+            rows = s.distinct()
+            yield pa.RecordBatch.from_arrays([pa.array(s.names[rows]), batch.column(1).take(pa.array(rows))], ["class", "text"])
 
     return run
 
 
-def bit_places(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _spelled(heavy, shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=STEP):
+            s = Sets(batch.column(1), heavy.value, shingle)
+            yield spelled(s, s.distinct())
+
+    return run
+
+
+def spelled(s: Sets, rows: np.ndarray) -> pa.RecordBatch:
+    """(class, tokens) of some rows."""
+    at, _ = s.members(rows, s.sizes[rows])
+    ends = np.r_[0, np.cumsum(s.sizes[rows])].astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(s.names[rows]), pa.ListArray.from_arrays(pa.array(ends), pa.array(s.flat[at]))], ["class", "tokens"])
+
+
+def bit_places(names: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     h = mix(names.astype(np.int64).view(np.uint64))
-    return (h & np.uint64(BITMAP - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(BITMAP - 1)).astype(np.int64)
+    return (h & np.uint64(size - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(size - 1)).astype(np.int64)
 
 
-def in_bitmap(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
-    a, b = bit_places(names)
-    return ((bits[a >> 3] >> (a & 7)) & (bits[b >> 3] >> (b & 7)) & 1).astype(bool)
+def in_bitmap(words: np.ndarray, names: np.ndarray, size: int) -> np.ndarray:
+    """Whether a bitmap of 64-bit words holds the names; it may hold others, too."""
+    a, b = bit_places(names, size)
+    held = lambda x: (words[x >> 6] >> (x & 63).astype(np.uint64)) & np.uint64(1)
+    return (held(a) & held(b)).astype(bool)
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = np.zeros(BITMAP, bool)
-    for batch in batches:
-        for x in bit_places(np.asarray(batch.column(0))):
-            held[x] = True
-    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())], ["bits"])
+def _places(size: int):
+    """(word, bits): the words of a bitmap that classes set, and which bits of them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(np.concatenate(bit_places(np.asarray(batch.column(0)), size)))
+            word, first = np.unique(at >> 6, return_index=True)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], ["word", "bits"])
 
-def bitmap_of(classes: DataFrame) -> bytes:
-    """A bitmap of bounded size of the classes; at most eight partial ones reach the driver."""
-    parts = classes.select("class").coalesce(8).mapInArrow(_bits, "bits binary").collect()
-    return np.bitwise_or.reduce([np.frombuffer(bytes(r[0]), np.uint8) for r in parts] or [np.zeros(BITMAP // 8, np.uint8)]).tobytes()
+    return run
+
+
+def bitmap_of(classes: DataFrame, size: int) -> np.ndarray:
+    """A bitmap of ``size`` bits of the classes, put together by word; it reaches the driver once."""
+    found = classes.select("class").mapInArrow(_places(size), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(max(1, size >> 6), np.uint64)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy().astype(np.int64).view(np.uint64)
+    return out
 
 
 def _groups(work):
     """Apply ``work`` to the rows of one key after the other (batches are sorted by key; a key may span batches)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
+        rest: list[pa.RecordBatch] = []  # batches of the last key so far, joined once it ends
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if rest is not None:
-                table = pa.concat_tables([rest, table])
-            key = np.asarray(table.column(0))
-            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            rest = table.slice(last)
-            if last:
-                yield from work(table.slice(0, last))
-        if rest is not None and rest.num_rows:
-            yield from work(rest)
+            if not batch.num_rows:
+                continue
+            key = np.asarray(batch.column(0))
+            if rest and rest[0].column(0)[-1].as_py() != key[-1]:
+                last = int(np.searchsorted(key, key[-1]))
+                yield from work(pa.Table.from_batches([*rest, batch.slice(0, last)]))
+                rest = [batch.slice(last)]
+            elif rest or key[0] == key[-1]:
+                rest.append(batch)
+            else:
+                last = int(np.searchsorted(key, key[-1]))
+                yield from work(pa.Table.from_batches([batch.slice(0, last)]))
+                rest = [batch.slice(last)]
+        if rest:
+            yield from work(pa.Table.from_batches(rest))
 
     return run
 
@@ -215,7 +253,7 @@ def _stars(percent: int):
     """
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, name, n, live = (np.asarray(table.column(i)) for i in range(4))
+        key, name, n, live = (table.column(i).to_numpy() for i in range(4))
         part = -live / prefix_length(n.astype(np.int64), percent)
         by = (part, n, mix(name.view(np.uint64)))
         edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
@@ -241,7 +279,7 @@ def _candidates(percent: int):
     """(a, b, strong, count, n, m, heavies): pairs of one key that are alike in size and not of one star."""
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, name, n, at, heavies, star = (np.asarray(table.column(i)) for i in range(6))
+        key, name, n, at, heavies, star = (table.column(i).to_numpy() for i in range(6))
         edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         out: list[tuple[np.ndarray, ...]] = []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -282,13 +320,22 @@ class PrefixTree:
             self.shared.append(int(other[0]) if len(other) else k)
 
     def linked(self, probe: np.ndarray, percent: int, step: int = 64) -> list[int]:
-        """Indices of the sets that reach the similarity with ``probe``."""
+        """Indices of the sets that reach the similarity with ``probe``.
+
+        Where a path is left because not even the longest set below it can reach the overlap, all sets below
+        are stepped over at once; of ``visited`` sets some part was looked at.
+        """
         out = []
         path = np.zeros(1, np.int64)  # overlap of each beginning of the current path, as far as it was followed
-        for i, (own, known) in enumerate(zip(self.sets, self.shared, strict=True)):
+        sizes, shared = np.asarray([len(s) for s in self.sets]), np.asarray(self.shared)
+        self.visited = 0
+        i = 0
+        while i < len(self.sets):
+            own = self.sets[i]
             n = len(own)
+            self.visited += 1
             need = int(least_overlap(len(probe), n, percent))
-            depth = min(known, len(path) - 1)
+            depth = min(int(shared[i]), len(path) - 1)
             path = path[: depth + 1]
             pieces = [path]
             overlap = int(path[-1])
@@ -303,6 +350,13 @@ class PrefixTree:
                 path = np.concatenate(pieces)
             if overlap >= need:
                 out.append(self.order[i])
+                i += 1
+                continue
+            # left at this depth: the sets that share the path so far
+            below = shared[i + 1 :] < depth
+            to = i + 1 + (int(np.argmax(below)) if below.any() else len(below)) if depth else i + 1
+            longest = int(sizes[i:to].max())
+            i = to if overlap + longest - depth < int(least_overlap(len(probe), longest, percent)) else i + 1
         return out
 
 
@@ -340,14 +394,20 @@ def _verify(percent: int):
 
 
 def verified(pairs: DataFrame, rows: DataFrame, heavy, shingle: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets link; written."""
-    w = Window.partitionBy("a").orderBy("b")
-    blocks = pairs.select("a", "b", F.floor((F.row_number().over(w) - 1) / BLOCK).cast("int").alias("part"))
+    """Those of the pairs (a, b) whose whole sets link; written.  The partners of one class are dealt out in blocks of about ``BLOCK``."""
+    spark = rows.sparkSession
+    large = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).filter("parts > 1")
+    blocks = pairs.join(large, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int").alias("part"))
     members = blocks.select(F.col("a").alias("lead"), "part", F.lit(False).alias("probe"), F.col("b").alias("class"))
     probes = blocks.select(F.col("a").alias("lead"), "part", F.lit(True).alias("probe"), F.col("a").alias("class")).distinct()
     needed = written(members.unionByName(probes), "needed")
-    bitmap = rows.sparkSession.sparkContext.broadcast(bitmap_of(needed))
-    sets = rows.mapInArrow(_chosen(heavy, bitmap, shingle), "class long, tokens array<long>")
+    wanted = needed.select("class").distinct()
+    n = wanted.count()
+    if n <= BITMAP_CLASSES:
+        size = 1 << max(10, (16 * n - 1).bit_length())
+        sets = rows.mapInArrow(_chosen(heavy, spark.sparkContext.broadcast(bitmap_of(wanted, size)), size, shingle), "class long, tokens array<long>")
+    else:
+        sets = rows.select("doc_id", "text").mapInArrow(_named(shingle), "class long, text binary").join(wanted, "class", "left_semi").mapInArrow(_spelled(heavy, shingle), "class long, tokens array<long>")
     sets = sets.groupBy("class").agg(F.first("tokens").alias("tokens"))
     met = needed.join(sets, "class").select("lead", "part", "probe", "class", "tokens")
     met = met.repartition("lead", "part").sortWithinPartitions("lead", "part", F.desc("probe"))
@@ -393,7 +453,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = written(entries.select("key", "class", "n", "at", "heavies", "live"), "prefixes")
     by_key = lambda df: df.repartition("key").sortWithinPartitions("key")
 
-    stars = by_key(entries.select("key", "class", "n", "live")).mapInArrow(_stars(percent), "class long, leader long, kind long").groupBy("class", "leader", "kind").count()
+    stars = by_key(entries.select("key", "class", "n", "live")).mapInArrow(_stars(percent), "class long, leader long, kind long")
+    stars = written(stars.groupBy("class", "leader", "kind").count(), "stars")  # read twice below
     best = stars.groupBy("class", "kind").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
     likely = best.select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
     enough = stars.groupBy(F.col("leader").alias("a"), F.col("class").alias("b")).agg(F.max("count").alias("count")).join(entries.select(F.col("class").alias("b"), "n").distinct(), "b")

@@ -43,7 +43,9 @@ def test_substring_dedup(spark, corpus, few):
         assert (got[i]["n_words"], got[i]["kept_sha256"]) == (len(w), hashlib.sha256(kept).hexdigest())
 
 
-def test_jaccard(spark, corpus):
+@pytest.mark.parametrize("bitmap", [1 << 23, 0])
+def test_jaccard(spark, corpus, bitmap, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BITMAP_CLASSES", bitmap)
     sets = {}
     for i, x in corpus:
         w = (x or "").encode().lower().split()
@@ -134,3 +136,25 @@ def test_toxicity():
     got = score([x for x, _ in rows] + ["taro b.l.o.c.k.h.e.a.d", "", None])
     assert ((got[:-3] >= 0.5) == np.asarray([y for _, y in rows])).mean() > 0.97
     assert got[-3] >= 0.5 > got[-2] == got[-1]
+
+
+def test_prefix_tree_skips_subtrees():
+    """Sets that share a beginning with which no probe can reach the overlap are stepped over at once."""
+    sets = [np.r_[np.arange(1000, 1040), 2000 + 10 * i + np.arange(10)] for i in range(60)] + [np.arange(50)]
+    tree = jaccard_join.PrefixTree(sets)
+    assert tree.linked(np.arange(50), 80) == [60] and tree.visited < 5
+    probe = np.r_[np.arange(1000, 1040), np.arange(3000, 3010)]
+    want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(s, probe)) >= 60 * len(np.union1d(s, probe))]
+    assert sorted(tree.linked(probe, 60, step=7)) == want
+
+
+def test_groups_across_batches():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    keys = sorted(rng.choices(range(9), k=200))
+    seen = []
+    work = lambda t: iter([seen.append(t.column(0).to_pylist()) or pa.record_batch([pa.array([0])], ["x"])])
+    batches = [pa.record_batch([pa.array(keys[i : i + 7])], ["key"]) for i in range(0, 200, 7)]
+    list(jaccard_join._groups(work)([batches[0].slice(0, 0), *batches]))
+    assert sorted(k for part in seen for k in part) == keys and sum(len(set(p)) for p in seen) == len(set(keys))
