@@ -110,7 +110,7 @@ NONE = np.zeros(0, [("value", np.int64), ("rank", np.int64)])
 
 
 def _overview(shingle: int):
-    """(doc_id, class, n, value[], count[]) of every row; a chunk's first row has the shingles that several of its classes hold."""
+    """(doc_id, mark, class, n, value[], count[]) of every row; a chunk's first row has the shingles that several of its classes hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=STEP):
@@ -123,7 +123,7 @@ def _overview(shingle: int):
             many = count > 2
             offsets = pa.array(np.r_[0, np.full(batch.num_rows, many.sum())].astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (value[edges[:-1]][many], count[many])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s.names), pa.array(s.sizes), *lists], ["doc_id", "class", "n", "value", "count"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s.names), pa.array(s.sizes), *lists], ["doc_id", "mark", "class", "n", "value", "count"])
 
     return run
 
@@ -428,19 +428,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, percent: int = 80, frequent: int = 1 << 17, frequent_from: int = 24) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id.
-
-    Words are runs of other characters than ASCII white space, A-Z folded.  A text with fewer words
-    than a shingle is one shingle; one without words, or null, has none and links with nothing.  The
-    component's id is the smallest doc_id that links lead to.  Repeated rows and equal texts share a
-    component; rows without an id take part, but give no component its id (a component of such
-    rows only has a null id).  Other columns are ignored; an empty table gives no rows.
-    """
+def grouped(docs: DataFrame, id_col: str, text_col: str, *, shingle: int = SHINGLE, percent: int = 80, frequent: int = 1 << 17, frequent_from: int = 24) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): doc_id, mark (a hash of the text), class and n (set size) of every row, and class, n, first (the
+    least row: ids first, then marks) and root of every class that has shingles."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    overview = written(rows.mapInArrow(_overview(shingle), "doc_id long, class long, n long, value array<long>, count array<long>"), "classes")
-    base = overview.select("doc_id", "class", "n")
+    text = F.col(text_col).cast("string").cast("binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    overview = written(rows.mapInArrow(_overview(shingle), "doc_id long, mark long, class long, n long, value array<long>, count array<long>"), "classes")
+    base = overview.select("doc_id", "mark", "class", "n")
     often = overview.select(F.inline(F.arrays_zip("value", "count"))).groupBy("value").agg(F.sum("count").alias("count")).filter(F.col("count") >= frequent_from)
     top = [(r[0], r[1]) for r in often.orderBy(F.desc("count"), "value").limit(frequent).collect()]
     table = np.asarray([(v, i) for i, (v, _) in enumerate(reversed(top))], NONE.dtype)
@@ -471,24 +466,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     likely = counted.filter(F.col("strong") | (F.col("light") + F.col("heavies") + after >= need)).select("a", "b")
     links = linked.unionByName(verified(likely, rows, heavy, shingle, percent))
 
-    firsts = base.groupBy("class", "n").agg(F.min("doc_id").alias("first"))
-    roots = components(links)
-    reached = firsts.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    named = reached.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = reached.join(named, "root").select("class", "n", "component_id")
+    firsts = base.filter("n > 0").groupBy("class", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first"))
+    return base, firsts.join(components(links), "class", "left").withColumn("root", F.coalesce("root", "class"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id.
+
+    Words are runs of other characters than ASCII white space, A-Z folded.  A text with fewer words
+    than a shingle is one shingle; one without words, or null, has none and links with nothing.  The
+    component's id is the smallest doc_id that links lead to.  Repeated rows and equal texts share a
+    component; rows without an id take part, but give no component its id (a component of such
+    rows only has a null id).  Texts may be of any length; a tie between leaders changes no link.  Other
+    columns are ignored, whatever their names; an empty table gives no rows.  Equal sets are told by a 64-bit
+    name and their size: among n different sets about n * n / 2 ** 65 pairs are expected to be taken for equal.
+    """
+    base, classes = grouped(docs, id_col, text_col, **options)
+    named = classes.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
+    ids = classes.join(named, "root").select("class", "n", "component_id")
     some = base.filter("n > 0").join(ids, ["class", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return some.unionByName(base.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """All columns of one row of each component: the one whose id is the component's.
+    """All columns of one row of each component: that with the least id (rows without one come last).
 
-    Rows without words stay, as do rows without an id.  Of rows that repeat an id one stays.
+    Rows without words stay.  Of rows that repeat both id and text one stays.  What goes is told by id and a
+    hash of the text, so of several texts under one id only those go that are linked with what stays; the rows
+    to drop meet the documents in a merge join at every size.
     """
-    found = written(near_duplicates(docs, id_col, text_col, **options), "components")
-    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    if found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+    base, classes = grouped(docs, id_col, text_col, **options)
+    base = written(base, "rows")
+    best = classes.groupBy("root").agg(F.min("first").alias("best"))
+    fate = classes.join(best, "root").select("class", "n", F.when(F.col("first") == F.col("best"), F.col("first")).alias("stays"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    gone = base.filter("n > 0").join(fate, ["class", "n"]).filter(~row.eqNullSafe(F.col("stays"))).select("doc_id", "mark").distinct()
+    text = F.xxhash64(F.col(text_col).cast("string").cast("binary"))
+    own, mark, rank = (fresh(docs, name) for name in ("id", "mark", "rank"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(own)) & (text == F.col(mark))
+    kept = docs.join(gone.select(F.col("doc_id").alias(own), F.col("mark").alias(mark)).hint("merge"), same, "left_anti")
+    repeats = base.filter("n > 0").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    if repeats.isEmpty():
         return kept
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    return kept.withColumn("__rank", F.when(F.col(id_col).isNull(), 1).otherwise(rank)).filter("__rank = 1").drop("__rank")
+    again = repeats.select(F.col("doc_id").alias(own), F.col("mark").alias(mark), F.lit(True).alias(rank))
+    others = [F.col(c) for c in docs.columns if c not in (id_col, text_col)] or [F.lit(0)]
+    number = F.row_number().over(Window.partitionBy(F.col(id_col), text).orderBy(F.xxhash64(*others)))
+    kept = kept.join(again.hint("merge"), same, "left").drop(own, mark)
+    return kept.withColumn(rank, F.when(F.col(rank), number).otherwise(1)).filter(F.col(rank) == 1).drop(rank)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not use."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name

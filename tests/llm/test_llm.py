@@ -158,3 +158,16 @@ def test_groups_across_batches():
     batches = [pa.record_batch([pa.array(keys[i : i + 7])], ["key"]) for i in range(0, 200, 7)]
     list(jaccard_join._groups(work)([batches[0].slice(0, 0), *batches]))
     assert sorted(k for part in seen for k in part) == keys and sum(len(set(p)) for p in seen) == len(set(keys))
+
+
+def test_one_of_each(spark):
+    """One row of each group stays, with all columns; nulls, repeated ids and rows, clashing names, an empty table."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, "x"), (2, a + " tail", "x"), (3, b, "y"), (3, a, "z"), (None, a, "n"), (4, "", "e"), (5, None, "e"), (6, "short", "s"), (6, "short", "s"), (7, "short", "t"), (None, "lone text", "u"), (None, "lone text", "u"), (8, " ".join(f"c{i}" for i in range(300_000)), "long")]
+    docs = spark.createDataFrame([(i, x, c, 1, "m") for i, x, c in rows], "doc_id long, text string, class string, rank int, mark string")
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r["doc_id"] or 0, r["class"]) for r in kept.collect())
+    assert got == [(0, "u"), (1, "x"), (3, "y"), (4, "e"), (5, "e"), (6, "s"), (8, "long")]
+    assert jaccard_join.one_of_each(docs.limit(0)).count() == 0
+    assert jaccard_join.near_duplicates(docs.limit(0)).count() == 0
