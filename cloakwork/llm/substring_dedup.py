@@ -39,6 +39,8 @@ ROUNDS = 6
 FAR = 1 << 40
 #: Bytes of text that a task works on at a time.
 STEP = 3_000_000
+#: Marks of a row: its chunk holds the name more than once; known to be shared without looking further.
+MANY, KNOWN = 2, 1
 
 
 def recompress(tokens: np.ndarray, doc: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,7 +131,7 @@ def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _symbols(width: int, rounds: int):
-    """Step 1: rows (name, doc, crc, at, many, known)."""
+    """Step 1: rows (name, doc, crc, at); ``at`` is a symbol's place in its text and, in its two lowest bits, MANY and KNOWN."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=STEP):
@@ -144,16 +146,16 @@ def _symbols(width: int, rounds: int):
             doc = np.r_[p.doc[u[first]], p.doc[u[known]], bare_docs]
             rest = len(known) + len(bare_docs)
             name = np.r_[signed(p.name[u[first]]), signed(mix(np.r_[p.doc[u[known]], bare_docs].astype(np.uint64) * np.uint64(97) + np.arange(rest, dtype=np.uint64)))]
-            at = np.r_[p.index[u[first]], p.index[u[known]], np.full(len(bare_docs), -1)].astype(np.int32)
-            flags = np.r_[many[first], np.ones(rest, bool)]
+            at = np.r_[p.index[u[first]], p.index[u[known]], np.full(len(bare_docs), -1)].astype(np.int64)
+            flags = np.r_[many[first] * MANY, np.full(rest, MANY | KNOWN)]
             own = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(name), batch.column(0).take(own), batch.column(2).take(own), pa.array(at), pa.array(flags), pa.array(np.r_[np.zeros(len(first), bool), np.ones(rest, bool)])], ["name", "doc", "crc", "at", "many", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(name), batch.column(0).take(own), batch.column(2).take(own), pa.array(at * 4 + flags)], ["name", "doc", "crc", "at"])
 
     return run
 
 
 def _windows(width: int, rounds: int):
-    """Step 2: rows (name, doc, crc, at, off, spelled, many, known) of runs of candidate windows.
+    """Step 2: rows (name, doc, crc, at, off, spelled) of runs of candidate windows; ``at`` holds marks as in step 1.
 
     The windows at..at+len(spelled)-1 stand by one symbol, called ``name``, whose range begins
     ``off`` words after the first of them; ``spelled`` are the windows' fingerprints.  (A window
@@ -200,13 +202,11 @@ def _windows(width: int, rounds: int):
                 pa.array(np.r_[signed(name[begin]), pad]),
                 batch.column(0).take(own),
                 batch.column(2).take(own),
-                pa.array((row - p.starts[doc]).astype(np.int32)),
+                pa.array((row - p.starts[doc]) * 4 + np.r_[many[begin] * MANY, np.full(len(known), MANY | KNOWN)]),
                 pa.array(np.r_[off[begin], length].astype(np.int32)),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(one[h]))),
-                pa.array(np.r_[many[begin], np.ones(len(known), bool)]),
-                pa.array(np.r_[np.zeros(len(begin), bool), np.ones(len(known), bool)]),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["name", "doc", "crc", "at", "off", "spelled", "many", "known"])
+            yield pa.RecordBatch.from_arrays(columns, ["name", "doc", "crc", "at", "off", "spelled"])
 
     return run
 
@@ -239,23 +239,30 @@ def _parse(ddl: str) -> list:
 
 
 def _shared(rows: DataFrame, *names: str) -> DataFrame:
-    """Rows whose name occurs in another row, or more than once in a chunk; rows known beforehand pass."""
+    """Rows whose name occurs in another row, or more than once in a chunk; rows known beforehand pass.  ``at`` loses its marks."""
+    mark = lambda bit: F.col("at").bitwiseAND(F.lit(bit).cast("long")) != 0
+    rows = rows.withColumn("known", mark(KNOWN)).withColumn("many", mark(MANY))
     w = Window.partitionBy("known", *names)
     rows = rows.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("some", F.max("many").over(w))
-    return rows.filter("known OR (NOT many AND (n > 1 OR some))")
+    return rows.filter("known OR (NOT many AND (n > 1 OR some))").withColumn("at", F.shiftright("at", 2).cast("int"))
 
 
 def repeats(docs: DataFrame, width: int, rounds: int) -> DataFrame:
-    """(doc, crc, begin[], end[]): ranges of first words of repeated windows."""
-    found = _shared(docs.select("doc", "text", "crc").mapInArrow(_symbols(width, rounds), "name long, doc long, crc int, at int, many boolean, known boolean"), "name")
-    lists = found.groupBy("doc", "crc").agg(F.collect_list("at").alias("at"))
+    """(doc, crc, ranges[]): ranges of first words of repeated windows.
+
+    Rows that agree in doc and crc are equal texts, so each place is listed once however many they are.
+    """
+    found = _shared(docs.select("doc", "text", "crc").mapInArrow(_symbols(width, rounds), "name long, doc long, crc long, at long"), "name")
+    lists = found.groupBy("doc", "crc").agg(F.collect_set("at").alias("at"))
     texts = docs.join(lists, ["doc", "crc"]).select("doc", "text", "crc", "at", "rest")  # rest only so that this join's shuffle is the last one's, too
-    runs = texts.mapInArrow(_windows(width, rounds), "name long, doc long, crc int, at int, off int, spelled array<long>, many boolean, known boolean").repartition("name")
-    windows = runs.select("name", "doc", "crc", "at", "off", "many", "known", F.posexplode_outer("spelled").alias("k", "more"))
+    runs = texts.mapInArrow(_windows(width, rounds), "name long, doc long, crc long, at long, off int, spelled array<long>").repartition("name")
+    windows = runs.select("name", "doc", "crc", "at", "off", F.posexplode_outer("spelled").alias("k", "more"))
     k = F.coalesce("k", F.lit(0))
-    windows = windows.select("name", "more", "doc", "crc", (F.col("at") + k).alias("at"), F.when(F.col("known"), F.col("at") + F.col("off")).otherwise(F.col("at") + k + 1).alias("to"), F.when(~F.col("known"), F.col("off") - k).alias("off"), "many", "known")
+    known = F.col("at").bitwiseAND(F.lit(KNOWN).cast("long")) != 0
+    first = F.shiftright("at", 2).cast("int")
+    windows = windows.select("name", "more", "doc", "crc", (F.col("at") + 4 * k).alias("at"), F.when(known, first + F.col("off")).otherwise(first + k + 1).alias("to"), F.when(~known, F.col("off") - k).alias("off"))
     found = _shared(windows, "name", "off", "more")
-    return found.groupBy("doc", "crc").agg(F.collect_list("at").alias("begin"), F.collect_list("to").alias("end"))
+    return found.groupBy("doc", "crc").agg(F.collect_set(F.struct(F.col("at").alias("begin"), F.col("to").alias("end"))).alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, rounds: int = ROUNDS, carry: list[str] | None = None) -> DataFrame:
@@ -265,11 +272,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A word goes if a window of ``width`` words that covers it also starts anywhere else, in the same
     text or another.  A null or empty text has no words.  Repeated rows are copies of each other (and lose
-    their windows); rows are told apart by id and text, a null id by text alone.  Shorter texts have
-    no windows.  Other columns are ignored; an empty table gives no rows.
+    their windows); rows are told apart by id and a 64-bit hash of the text, those without an id by two such
+    hashes.  Shorter texts have no windows, very long ones are worked on alone.  Other columns are ignored,
+    whatever their names; an empty table gives no rows.
     """
     text = F.col(text_col).cast("string").cast("binary")
-    none = -(1 << 63)  # stands for a null id, so that both joins shuffle the very same rows and Spark does so once
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("doc"), text.alias("text"), F.hash(F.coalesce(text, F.lit(b""))).alias("crc"), F.struct(*([F.col(c) for c in carry] if carry else [F.lit(0).alias("none")])).alias("rest"))
+    plain = F.coalesce(text, F.lit(b""))
+    name = F.col(id_col).cast("long")
+    # both joins shuffle the very same rows, so Spark does so once
+    rest = F.struct(name.alias("id"), F.struct(*([F.col(c) for c in carry] if carry else [F.lit(0).alias("none")])).alias("carried"))
+    rows = docs.select(F.coalesce(name, F.xxhash64(F.lit("no id"), plain)).alias("doc"), text.alias("text"), F.xxhash64(plain).alias("crc"), rest.alias("rest"))
     ranges = repeats(rows, width, rounds)
-    return rows.join(ranges, ["doc", "crc"], "left").select(F.nullif("doc", F.lit(none)).alias("doc"), "text", "crc", "begin", "end", "rest").mapInArrow(_removal(width), StructType([*_parse("doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, text binary"), rows.schema["rest"]]))
+    out = rows.join(ranges, ["doc", "crc"], "left").select("doc", "text", "crc", F.col("ranges.begin").alias("begin"), F.col("ranges.end").alias("end"), "rest")
+    out = out.mapInArrow(_removal(width), StructType([*_parse("doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, text binary"), rows.schema["rest"]]))
+    return out.select(F.col("rest.id").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept", "text", F.col("rest.carried").alias("rest"))

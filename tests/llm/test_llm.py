@@ -171,3 +171,27 @@ def test_one_of_each(spark):
     assert got == [(0, "u"), (1, "x"), (3, "y"), (4, "e"), (5, "e"), (6, "s"), (8, "long")]
     assert jaccard_join.one_of_each(docs.limit(0)).count() == 0
     assert jaccard_join.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_substring_edges(spark):
+    """Rows without an id whose 32-bit hashes agree, one id with several texts, repeated rows, clashing names, a long text, an empty table."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    # a birthday search for two texts of different lengths with the same 32-bit hash
+    found = spark.range(400_000).select(F.concat(F.lit("x "), F.col("id").cast("string"), F.repeat(F.lit(" y"), (F.col("id") % 40).cast("int"))).alias("t")).select("t", F.hash(F.col("t").cast("binary")).alias("h"))
+    twins = [r["t"] for r in found.groupBy("h").agg(F.collect_set("t").alias("ts")).filter("size(ts) > 1").select(F.inline(F.transform("ts", lambda t: F.struct(t.alias("t"))))).collect()]
+    assert len(twins) >= 2
+    rows = [(None, t) for t in twins] + [(None, None), (None, ""), (5, passage + " a"), (5, "b " + passage), (5, "b " + passage), (6, "lone words"), (7, " ".join(f"q{i}" for i in range(200_000)))]
+    docs = spark.createDataFrame([(i, t, 1, "n") for i, t in rows], "doc_id long, text string, rest int, name string")
+    width = 12
+    split = [(t or "").split() for _, t in rows]
+    seen = {}
+    for i, w in enumerate(split):
+        for k in range(len(w) - width + 1):
+            seen.setdefault(tuple(w[k : k + width]), []).append((i, k))
+    gone = {(i, k + j) for at in seen.values() if len(at) > 1 for i, k in at for j in range(width)}
+    want = sorted((i or 0, len(w), sum((r, k) in gone for k in range(len(w)))) for r, ((i, _), w) in enumerate(zip(rows, split, strict=True)))
+    out = substring_dedup.remove_repeats(docs, width=width, rounds=3, carry=["rest", "name"])
+    got = out.collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in got) == want
+    assert all(tuple(r["rest"]) == (1, "n") for r in got) and sum(r["doc_id"] is None for r in got) == len(twins) + 2
+    assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
