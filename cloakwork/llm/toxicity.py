@@ -58,9 +58,10 @@ def pieces(unit: str) -> list[str]:
     """A unit without outer punctuation, and without inner punctuation where it has some; long ones in overlapping pieces, so that nothing goes unseen."""
     unit = unit.strip(OUTER) or unit
     half = PIECE // 2
-    out = [unit] if len(unit) <= PIECE else [unit[i : i + PIECE] for i in range(0, len(unit) - half, half)]
-    if not unit.isalnum() and 2 < len(plain := "".join(filter(str.isalnum, unit))) <= PIECE:
-        out.append(plain)
+    cut = lambda x: [x] if len(x) <= PIECE else [x[i : i + PIECE] for i in range(0, len(x) - half, half)]
+    out = cut(unit)
+    if not unit.isalnum() and len(plain := "".join(filter(str.isalnum, unit))) > 2:
+        out += cut(plain)
     return out
 
 
@@ -263,14 +264,15 @@ def calibrate(machine: StringMachine, tops: list[tuple[float, int]]) -> None:
     machine.shift = -float(low + high) / 2
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, *, toxic_rows: int, clean_rows: int, fold: int | None = 5) -> list[tuple[str | None, int]]:
-    """At most ``toxic_rows`` and ``clean_rows`` labelled documents by hash order (documented bounds), never of the held-out fold."""
+def training_rows(docs: DataFrame, labels: DataFrame, *, toxic_rows: int, clean_rows: int, fold: int | None = 5, longest: int = 1 << 16) -> list[tuple[str | None, int]]:
+    """At most ``toxic_rows`` and ``clean_rows`` labelled documents by hash order, without those of more than ``longest`` bytes
+    (documented bounds of what the driver holds), never of the held-out fold.  Null labels and ids label nothing."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     if fold:
         known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold != 0)
     some = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, toxic_rows), (0, clean_rows))]
     chosen = F.broadcast(some[0].unionByName(some[1]))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).join(chosen, "doc_id")
     return [(r[1], r[2]) for r in rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()]
 
 
@@ -323,9 +325,10 @@ def drop_toxic(docs: DataFrame, machine: StringMachine, text_col: str = "text")
 def score_documents(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = 1500, clean_rows: int = 3000, **options) -> DataFrame:
     """Train on the labelled rows outside the held-out fold, then score every row.
 
-    The fold of a document is crc32(doc_id as text) mod 5; fold 0 is held out.  Labels, language,
-    source and id are never features.
+    The fold of a document is crc32(doc_id as text) mod 5; fold 0 is held out (a row without an id is not).  Labels,
+    language, source and id are never features.  Every text is scored whole, however long.  Without toxic or clean
+    labelled rows, or with an empty labels table, no unit is told from another: with clean rows only all are clean.
     """
     machine = train(training_rows(docs, labels, toxic_rows=toxic_rows, clean_rows=clean_rows), **options)
     out = score_texts(docs, machine)
-    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted")
