@@ -5,11 +5,11 @@ sequences of at most ``context`` tokens.  ``best[j]`` is the least cost of a pac
 boundary ``j``:
 
     best[j] = cut(j) + min( min_{i: pos[j]-pos[i] <= context} best[i] + context - (pos[j] - pos[i]),
-                            min_{p = context/2, context/4} best[i: pos[i] = pos[j] - p] )
+                            min_{p = 1, 2, 4 ..} best[i: pos[i] = pos[j] - p] ) + sequence_penalty
 
 The first minimum is over a sliding window of ``best[i] + pos[i]``, which a monotone queue gives in
-amortised constant time; the second is for sequences whose length is a power of two and that need
-no padding.  ``cut`` is 0 at a document's end, ``sentence_penalty`` at a sentence's end inside a
+amortised constant time; the second is for sequences whose length is any power of two and that need
+no padding (the penalty of a sequence keeps them from being chosen for their own sake).  ``cut`` is 0 at a document's end, ``sentence_penalty`` at a sentence's end inside a
 document and ``hard_penalty`` elsewhere (only offered where two boundaries lie further apart than a
 sequence is long).
 
@@ -82,16 +82,20 @@ def boundaries(ends: np.ndarray, sentence: np.ndarray, context: int, sentence_pe
     return at, price[at]
 
 
-def cuts(at: np.ndarray, price: np.ndarray, context: int) -> list[int]:
-    """Positions of the cheapest cuts (the first is 0, the last the stream's end)."""
-    pos, fee = at.tolist(), price.tolist()
-    short = []
+def cuts(at: np.ndarray, price: np.ndarray, context: int, sequence_penalty: float) -> list[int]:
+    """Positions of the cheapest cuts (the first is 0, the last the stream's end).  Of ties the longer sequence counts."""
+    pos, fee = at.tolist(), (price + sequence_penalty).tolist()
+    ends, begins = [], []  # pairs of boundaries that lie a power of two apart
     p = context // 2
-    while p >= max(1, context // 4):
-        i = np.searchsorted(at, at - p)
-        i[(at < p) | (at[np.minimum(i, len(at) - 1)] != at - p)] = -1
-        short.append(i.tolist())
+    while p >= 1:
+        i = np.minimum(np.searchsorted(at, at - p), len(at) - 1)
+        j = np.flatnonzero((at >= p) & (at[i] == at - p))
+        ends.append(j)
+        begins.append(i[j])
         p //= 2
+    order = np.argsort(np.concatenate([*ends, [0]])[:-1], kind="stable")
+    short = np.concatenate([*begins, [0]])[:-1][order].astype(np.int64).tolist()
+    of = np.searchsorted(np.concatenate([*ends, [0]])[:-1][order], np.arange(len(at) + 1)).tolist()
     best, back, key = [0.0] * len(pos), [0] * len(pos), [0.0] * len(pos)
     queue: deque[int] = deque([0])
     for j in range(1, len(pos)):
@@ -100,13 +104,12 @@ def cuts(at: np.ndarray, price: np.ndarray, context: int) -> list[int]:
             queue.popleft()
         i = queue[0]
         cost = key[i] + context - here
-        for other in short:
-            k = other[j]
-            if k >= 0 and best[k] < cost:
+        for k in short[of[j] : of[j + 1]]:
+            if best[k] < cost:
                 cost, i = best[k], k
         best[j], back[j] = cost + fee[j], i
         value = key[j] = best[j] + here
-        while queue and key[queue[-1]] >= value:
+        while queue and key[queue[-1]] > value:
             queue.pop()
         queue.append(j)
     out, j = [pos[-1]], len(pos) - 1
@@ -116,13 +119,13 @@ def cuts(at: np.ndarray, price: np.ndarray, context: int) -> list[int]:
     return out[::-1]
 
 
-def pack_stream(ids: list[np.ndarray], ends_sentence: np.ndarray, context: int, sentence_penalty: float, hard_penalty: float):
+def pack_stream(ids: list[np.ndarray], ends_sentence: np.ndarray, context: int, sentence_penalty: float, hard_penalty: float, sequence_penalty: float):
     """(document index, start, length, sequence, offset) arrays and the joined ids of one stream."""
     lengths = np.asarray([len(x) for x in ids], np.int64)
     joined = np.concatenate(ids)
     ends = np.cumsum(lengths)
     sentence = np.flatnonzero(ends_sentence[joined]) + 1
-    split = np.asarray(cuts(*boundaries(ends, sentence, context, sentence_penalty, hard_penalty), context), np.int64)
+    split = np.asarray(cuts(*boundaries(ends, sentence, context, sentence_penalty, hard_penalty), context, sequence_penalty), np.int64)
     edges = np.union1d(split, ends)
     edges = np.r_[0, edges[edges > 0]]
     first, last = edges[:-1], edges[1:]
@@ -131,12 +134,14 @@ def pack_stream(ids: list[np.ndarray], ends_sentence: np.ndarray, context: int,
     return doc, first - (ends - lengths)[doc], last - first, sequence, first - split[sequence], joined, first
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ranks: str | None = None, context: int = 2048, end_id: int = 1, sentence_penalty: float = 24.0, hard_penalty: float = 96.0, stream_tokens: int = 1_000_000, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ranks: str | None = None, context: int = 2048, end_id: int = 1, sentence_penalty: float = 24.0, hard_penalty: float = 96.0, sequence_penalty: float = 64.0, stream_tokens: int = 1_000_000, with_ids: bool = False) -> DataFrame:
     """Pack every row's tokens into sequences; one row per piece.
 
     A document is the byte-level BPE ids of its text (a null or empty text has none), then ``end_id``.
-    Each id lies in exactly one piece.  Repeated rows are packed once each; a null id is kept; other
-    columns are ignored; an empty table gives no rows.  ``with_ids`` adds the pieces' ids.
+    Each id lies in exactly one piece.  The ids are those that the vocabulary's JSON file gives in ``tokenizers``; they are
+    made from its rank file by another library, faster.  Repeated rows are packed once each; a null id is kept; a long
+    text is a stream of its own, cut where the optimum says; other columns are ignored, whatever their names; an
+    empty table gives no rows.  ``with_ids`` adds the pieces' ids.
     """
     path = ranks or default_ranks()
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
@@ -152,7 +157,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ran
 
         def flush():
             nonlocal number, size
-            doc, start, length, sequence, offset, joined, first = pack_stream(held, ends_sentence, context, sentence_penalty, hard_penalty)
+            doc, start, length, sequence, offset, joined, first = pack_stream(held, ends_sentence, context, sentence_penalty, hard_penalty, sequence_penalty)
             raw = memoryview(np.ascontiguousarray(joined, "<u4")).cast("B")
             crc = np.fromiter((zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(first.tolist(), length.tolist(), strict=True)), np.int64, len(first))
             total = np.asarray([len(x) for x in held], np.int64)[doc]
