@@ -9,11 +9,12 @@ the whole pattern is.
 
 Documents are read once and not shuffled.  The test set is broadcast in shards of at most
 ``shard_words`` words each; with more than one shard, the documents pass through one search step for
-each, which carries the spans found so far.
+each, which carries the spans found so far.  A worker builds a shard's tables once, for all its tasks.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -115,55 +116,72 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """Per row: words, words inside an occurrence, items found and the verdict n_hit > 0 and share * n_hit >= n_words.
 
     A null or empty text has no words and is clean.  Items without words or id are ignored; repeated
-    items count once.  Repeated rows are judged one by one; other columns are ignored; an empty test
-    set leaves every document clean.  ``spans`` holds the hit words' half-open ranges.
+    items count once, windows that several items share hit for each.  Repeated rows and ties are judged one by one,
+    texts of any length whole; other columns are ignored, whatever their names; an empty test
+    set leaves every document clean, an empty table gives no rows.  ``spans`` holds the hit words' half-open ranges.
     """
-    out = search(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), benchmark, "text", item_col, item_text_col, width=width, shard_words=shard_words)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    out, spans, items = search(rows, benchmark, "text", item_col, item_text_col, width=width, shard_words=shard_words)
     return out.select(
         "doc_id",
-        F.element_at(SPANS, 1).cast("long").alias("n_words"),
-        F.element_at(SPANS, 2).cast("long").alias("n_hit"),
-        F.size(ITEMS).cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort(ITEMS), ","), 256).alias("items_sha256"),
-        verdict(share).alias("contaminated"),
-        F.slice(SPANS, 3, F.greatest(F.size(SPANS) - 2, F.lit(0))).alias("spans"),
-        F.array_sort(ITEMS).alias("items"),
+        F.element_at(spans, 1).cast("long").alias("n_words"),
+        F.element_at(spans, 2).cast("long").alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(items), ","), 256).alias("items_sha256"),
+        verdict(spans, share).alias("contaminated"),
+        F.slice(spans, 3, F.greatest(F.size(spans) - 2, F.lit(0))).alias("spans"),
+        F.array_sort(items).alias("items"),
     )
 
 
-#: Columns that a search adds: the lower-cased words' text, the spans found (words, hit words, bounds) and the items.
-TEXT, SPANS, ITEMS = "__search_text", "__search_spans", "__search_items"
+#: Tables that this worker has built, by shard; the oldest goes where there are more than four.
+_BUILT: dict[tuple[str, int], list[WuManber]] = {}
 
 
-def verdict(share: int):
-    hit, total = F.element_at(SPANS, 2), F.element_at(SPANS, 1)
+def built(name: str, items: list[tuple[str, bytes | None]], width: int) -> list[WuManber]:
+    if (name, width) not in _BUILT:
+        if len(_BUILT) >= 4:
+            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT[name, width] = tables(items, width)
+    return _BUILT[name, width]
+
+
+def verdict(spans: str, share: int):
+    hit, total = F.element_at(spans, 2), F.element_at(spans, 1)
     return (hit > 0) & (share * hit.cast("long") >= total)
 
 
-def search(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, *, width: int, shard_words: int) -> DataFrame:
-    """All rows and columns of ``docs``, with SPANS and ITEMS."""
-    out = docs.withColumns({TEXT: F.col(text_col).cast("string").cast("binary"), SPANS: F.lit(None).cast("array<int>"), ITEMS: F.lit(None).cast("array<string>")})
+def search(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, *, width: int, shard_words: int) -> tuple[DataFrame, str, str]:
+    """All rows and columns of ``docs`` with two more, whose names are returned: the spans (words, hit words, bounds) and the items."""
+    names = []
+    for name in ("search_text", "search_spans", "search_items"):
+        while name in [c.lower() for c in docs.columns]:
+            name += "_"
+        names.append(name)
+    text, spans, items = names
+    out = docs.withColumns({text: F.col(text_col).cast("string").cast("binary"), spans: F.lit(None).cast("array<int>"), items: F.lit(None).cast("array<string>")})
     pieces = shards(benchmark, item_col, item_text_col, shard_words)
     shard = next(pieces)
     while shard is not None:
         after = next(pieces, None)
-        out = out.mapInArrow(_step(docs.sparkSession.sparkContext.broadcast(shard), width, last=after is None), out.schema)
+        out = out.mapInArrow(_step(docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, shard)), width, last=after is None), out.schema)
         shard = after
-    return out.drop(TEXT)
+    return out.drop(text), spans, items
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, width: int = 13, share: int = 20, shard_words: int = 200_000) -> DataFrame:
     """The rows that are not contaminated, with all their columns."""
-    return search(docs, benchmark, text_col, item_col, item_text_col, width=width, shard_words=shard_words).filter(~verdict(share)).select(docs.columns)
+    out, spans, _ = search(docs, benchmark, text_col, item_col, item_text_col, width=width, shard_words=shard_words)
+    return out.filter(~verdict(spans, share)).select(docs.columns)
 
 
 def _step(shard, width: int, last: bool):
     """One search step.  spans: words, hit words, then the ranges' bounds one after the other.  The last step drops the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searches = tables(shard.value, width)
+        searches = built(*shard.value, width)
         for batch in batches:
-            at = batch.num_columns - 3  # TEXT, SPANS, ITEMS
+            at = batch.num_columns - 3  # text, spans, items
             for part in slices([batch], text=at):
                 spans, items = [], []
                 for text, before, had in zip(*(part.column(at + k).to_pylist() for k in range(3)), strict=True):

@@ -195,3 +195,90 @@ def test_substring_edges(spark):
     assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in got) == want
     assert all(tuple(r["rest"]) == (1, "n") for r in got) and sum(r["doc_id"] is None for r in got) == len(twins) + 2
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_decontamination_names(spark):
+    """Columns named like the operator's own stay as they are; null ids and texts, repeated rows and an empty table have results."""
+    item = " ".join(f"w{i}" for i in range(13))
+    rows = [(None, item, 1), (1, None, 2), (2, "", 3), (3, "clean text", 4), (3, "clean text", 4), (4, item.upper() + " x" * 400, 5)]
+    docs = spark.createDataFrame([(i, t, "s", "t", n) for i, t, n in rows], "doc_id long, text string, search_text string, search_spans string, spans int")
+    bench = spark.createDataFrame([(1, item), (1, item), (None, "clean text")], "item_id long, text string")
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and sorted(r["spans"] for r in kept.collect()) == [2, 3, 4, 4, 5]
+    assert decontaminate.find_contamination(docs.limit(0), bench).count() == 0
+    assert decontaminate.find_contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
+
+
+def test_packing_optimum():
+    """The cheapest cuts against all ways to cut short streams, every power of two free of padding."""
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        context = 16
+        at = np.r_[0, np.sort(rng.choice(np.arange(1, 60), 14, replace=False))]
+        at = at[np.r_[True, np.diff(at) <= context]] if (np.diff(at) > context).any() else at
+        if (np.diff(at) > context).any():
+            continue
+        price = rng.choice([0.0, 3.0, 9.0], len(at)).astype(np.float32)
+        best = {0: 0.0}
+        for j in range(1, len(at)):
+            ways = []
+            for i in range(j):
+                n = int(at[j] - at[i])
+                if n <= context:
+                    ways.append(best[i] + (0 if n & (n - 1) == 0 else context - n))
+            best[j] = min(ways) + float(price[j]) + 1.5
+        split = packing.cuts(at, price, context, 1.5)
+        where = {int(p): k for k, p in enumerate(at)}
+        cost = sum((0 if (n := b - a) & (n - 1) == 0 else context - n) + float(price[where[b]]) + 1.5 for a, b in zip(split, split[1:], strict=False))
+        assert split[0] == 0 and split[-1] == at[-1] and abs(cost - best[len(at) - 1]) < 1e-6
+
+
+def test_packing_padding_and_edges(spark, corpus):
+    """Little padding; special tokens, null ids, repeated rows, clashing names, a long text, an empty table."""
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [x for _, x in corpus] * 12 + ["<|endoftext|> a", "word " * 6000, "é中\U0001f600 \x00", None]
+    docs = spark.createDataFrame([(None if i % 50 == 0 else i, x, i, "o") for i, x in enumerate(texts)], "doc_id long, text string, start int, offset string").coalesce(1)
+    rows = packing.pack(docs, with_ids=True).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r["sequence_id"]] = sizes.get(r["sequence_id"], 0) + r["length"]
+    want = sorted(tuple(known.encode(x or "", add_special_tokens=False).ids + [1]) for x in texts)
+    assert sum(sizes.values()) == sum(map(len, want)) and max(sizes.values()) <= 2048
+    padding = sum(0 if n & (n - 1) == 0 else 2048 - n for n in sizes.values())
+    assert padding <= 0.05 * sum(sizes.values())
+    whole = [r for r in rows if r["doc_id"] == 1]
+    assert [i for r in sorted(whole, key=lambda r: r["start"]) for i in r["ids"]] == known.encode(texts[1], add_special_tokens=False).ids + [1]
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_kernel_equals_direct_sum():
+    """Kernel values against a direct sum over the gapped subsequences that two words share."""
+    from itertools import combinations
+
+    def vector(word):
+        s, out = f"\x02{word}\x03", {}
+        for i, j, k in combinations(range(len(s)), 3):
+            if k - i < toxicity.SPAN:
+                key = s[i] + s[j] + s[k]
+                out[key] = out.get(key, 0) + toxicity.DECAY ** (k - i - 1)
+        norm = sum(v * v for v in out.values()) ** 0.5
+        return {k: v / norm for k, v in out.items()}
+
+    words = ["dipstick", "dip-stick", "diipstick", "banana", "a", "aaaa", "блок"]
+    marks = ["dipstick", "blockhead", "nab", "aaab"]
+    want = [[sum(v * b.get(k, 0) for k, v in a.items()) for b in map(vector, marks)] for a in map(vector, words)]
+    assert np.allclose(toxicity.Landmarks(marks).kernel(words), want, atol=1e-5)
+
+
+def test_toxicity_edges(spark):
+    """Null ids are not held out; long spelled-out units are seen joined; empty tables have results."""
+    unit = ".".join("abcdefghijklmnopqrstuvwxyzblockhead")
+    assert any("blockhead" in p for p in toxicity.pieces(unit))
+    docs = spark.createDataFrame([(None, "x y", "l"), (1, None, "l"), (2, "", "l"), (2, "", "l"), (3, "word " * 100_000, "l")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(1, 0, None)], "doc_id long, toxic int, quality int")
+    got = toxicity.score_documents(docs, labels).collect()
+    assert len(got) == 5 and [r["held_out"] for r in got if r["doc_id"] is None] == [False] and all(0 <= r["score"] <= 1 for r in got)
+    assert toxicity.score_documents(docs.limit(0), labels.limit(0)).count() == 0
