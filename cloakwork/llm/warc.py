@@ -2,12 +2,14 @@
 
 Writing (``df.write.format("warc")``): each task writes one file, a gzip member for every record.  The
 member's header carries the ``sl`` extra field (the record's compressed and uncompressed length), so
-a reader can step over a member without inflating it.
-
-Reading (``spark.read.format("warc")``): one input partition for each file, or for each run of small
-files up to ``partition_bytes``.  Filters that Spark hands over on the record type and on headers are
-tested as soon as a record's header block has been inflated; payloads of other records, and all
-payloads where the ``payload`` option is false, are skipped undecoded.
+a reader can step over a member without inflating it.  An append adds files, an overwrite replaces them.
+
+Reading (``spark.read.format("warc")``): archives of any writer, ``.warc.gz`` (with or without that field, a
+member for each record or for many) and plain ``.warc``.  One input partition for each run of small files up to
+``partition_bytes``; a larger ``.warc.gz`` is split into ranges of that size, whose readers look for the first member that begins there.
+Filters that Spark hands over on the record type and on headers are tested as soon as a record's header
+block has been read; payloads of other records, and all payloads where the ``payload`` option is false, are
+skipped undecoded: by a seek where lengths allow it, else by inflating without keeping.
 """
 
 from __future__ import annotations
@@ -74,43 +76,184 @@ def member(record: dict) -> bytes:
     return GZIP + struct.pack("<H2sHII", 12, b"sl", 8, length, len(raw)) + body + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
 
 
-def records(source, payload: bool, wanted) -> Iterator[dict]:
-    """Records of an open archive whose headers ``wanted`` accepts; others are stepped over."""
-    size = source.size()
-    at = 0
+class Bytes:
+    """The bytes of an archive from one place on, inflated where it is gzip; what is skipped is never kept."""
+
+    PIECE = 1 << 16
+
+    def __init__(self, source, at: int, gzip: bool):
+        self.source, self.gzip = source, gzip
+        self.next = at  # first byte of the file that was not read yet
+        self.size = source.size()
+        self.held = b""
+        self.member, self.unpack, self.raw = at, None, b""
+        #: of the member that is open: its skip length and inflated length (0: unknown) and how much of it was given out
+        self.length = self.total = self.given = 0
+        source.seek(at)
+
+    def _open(self) -> bool:
+        """Begin the next member; False at the end of the file."""
+        head = self.raw
+        while len(head) < 12 and self.next < self.size:
+            head += self._piece()
+        if len(head) < 2 or head[:2] != b"\x1f\x8b":
+            return False
+        self.member = self.next - len(head)
+        self.length = self.total = self.given = 0
+        if len(head) >= 12 and head[3] & 4:
+            size = struct.unpack("<H", head[10:12])[0]
+            while len(head) < 12 + size and self.next < self.size:
+                head += self._piece()
+            extra = head[12 : 12 + size]
+            while len(extra) >= 4:
+                n = struct.unpack("<H", extra[2:4])[0]
+                if extra[:2] == b"sl" and n == 8:
+                    self.length, self.total = struct.unpack("<II", extra[4:12])
+                extra = extra[4 + n :]
+        self.unpack, self.raw = zlib.decompressobj(31), head
+        return True
+
+    def _piece(self) -> bytes:
+        out = self.source.read(min(self.PIECE, self.size - self.next))
+        self.next += len(out)
+        return out
+
+    def _more(self) -> bytes:
+        """Some further bytes, b"" at the end (of the file, or of what is gzip)."""
+        if not self.gzip:
+            return self._piece() if self.next < self.size else b""
+        while True:
+            if self.unpack is None and not self._open():
+                return b""
+            data, self.raw = self.raw, b""
+            if not data:
+                if self.next >= self.size:
+                    raise ValueError(f"the member at byte {self.member} is cut off")
+                data = self._piece()
+            out = self.unpack.decompress(data, self.PIECE)
+            self.raw = self.unpack.unconsumed_tail or self.unpack.unused_data
+            if self.unpack.eof:
+                self.unpack = None
+            if out:
+                self.given += len(out)
+                return out
+
+    def line(self) -> bytes | None:
+        """Up to the next line end, without it; None at the end."""
+        while b"\n" not in self.held:
+            more = self._more()
+            if not more:
+                out, self.held = self.held, b""
+                return out or None
+            self.held += more
+        out, _, self.held = self.held.partition(b"\n")
+        return out.rstrip(b"\r")
+
+    def take(self, n: int) -> bytes:
+        parts, have = [self.held], len(self.held)
+        while have < n:
+            more = self._more()
+            if not more:
+                raise ValueError(f"the record is cut off before byte {self.next}")
+            parts.append(more)
+            have += len(more)
+        whole = b"".join(parts)
+        self.held = whole[n:]
+        return whole[:n]
+
+    def skip(self, n: int) -> None:
+        if n <= len(self.held):
+            self.held = self.held[n:]
+            return
+        n -= len(self.held)
+        self.held = b""
+        if not self.gzip:
+            self.next += n
+            if self.next > self.size:
+                raise ValueError(f"the record is cut off before byte {self.next}")
+            self.source.seek(self.next)
+            return
+        if self.unpack is not None and self.length and self.given + n <= self.total <= self.given + n + 8:  # the rest of the member: step over it
+            self.next = self.member + self.length
+            self.unpack, self.raw = None, b""
+            self.source.seek(self.next)
+            return
+        while n:
+            more = self._more()
+            if not more:
+                raise ValueError(f"the record is cut off before byte {self.next}")
+            self.held, n = more[n:], max(0, n - len(more))
+
+
+def member_from(source, at: int) -> int:
+    """Where the first record's gzip member at or after ``at`` begins (the file's size without one)."""
+    size, step = source.size(), 1 << 20
     while at < size:
         source.seek(at)
-        head = source.read(len(GZIP) + 14)
-        if head[:4] != GZIP[:4] or head[12:14] != b"sl":
-            raise ValueError(f"no gzip member with a skip length at byte {at}")
-        length, total = struct.unpack("<II", head[16:24])
-        body = length - len(head) - 8
-        unpack, text, taken = zlib.decompressobj(-15), b"", 0
-        while b"\r\n\r\n" not in text and taken < body:  # the header block first
-            piece = source.read(min(2048, body - taken))
-            taken += len(piece)
-            text += unpack.decompress(piece, 4096)
-            while unpack.unconsumed_tail and b"\r\n\r\n" not in text:
-                text += unpack.decompress(unpack.unconsumed_tail, 4096)
-        block, _, rest = text.partition(b"\r\n\r\n")
-        fields = dict(line.split(": ", 1) for line in block.decode().split("\r\n")[1:] if ": " in line)
-        row = {c: fields.get(n) for c, n in HEADERS.items()}
-        for c in NUMBERS:
-            row[c] = None if row[c] is None else int(row[c])
-        if wanted(row):
-            row["payload"] = None
-            if payload and row["record_type"] != "revisit":
-                rest += unpack.decompress(unpack.unconsumed_tail + source.read(body - taken)) + unpack.flush()
-                if len(block) + 4 + len(rest) != total:
-                    raise ValueError(f"record at byte {at} is cut off")
-                row["payload"] = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]
+        data = source.read(min(step + 64, size - at))
+        i = data.find(b"\x1f\x8b\x08")
+        while 0 <= i < step:
+            source.seek(at + i)
+            try:
+                if zlib.decompressobj(31).decompress(source.read(4096), 5) == b"WARC/":
+                    return at + i
+            except zlib.error:
+                pass
+            i = data.find(b"\x1f\x8b\x08", i + 1)
+        at += step
+    return size
+
+
+def records(source, payload: bool, wanted, start: int = 0, end: int | None = None, gzip: bool = True) -> Iterator[dict]:
+    """Records of an open archive whose headers ``wanted`` accepts; others are stepped over.
+
+    With ``start`` and ``end`` those of the gzip members that begin in this range.
+    """
+    if start:
+        start = member_from(source, start)
+    stop = source.size() if end is None else end
+    if start >= stop:
+        return
+    data = Bytes(source, start, gzip)
+    while True:
+        first = data.line()
+        while first == b"":  # blank lines end the record before
+            if gzip and data.unpack is None and not data.held and data.next - len(data.raw) >= stop:
+                return
+            first = data.line()
+        if first is None or (gzip and data.member >= stop):
+            return
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record before byte {data.next}")
+        fields: dict[str, str] = {}
+        while line := data.line():
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            fields.setdefault(name.strip().lower(), value.strip())
+        try:
+            row = {c: fields.get(n.lower()) for c, n in HEADERS.items()}
+            for c in NUMBERS:
+                row[c] = None if row[c] is None else int(row[c])
+            length = int(fields["content-length"])
+        except (KeyError, ValueError) as problem:
+            raise ValueError(f"a record before byte {data.next} has no valid header") from problem
+        row["payload"] = None
+        if not wanted(row):
+            data.skip(length)
+        elif payload and row["record_type"] != "revisit":
+            block = data.take(length)
+            http = fields.get("content-type", "").lower().startswith("application/http")
+            row["payload"] = block.partition(b"\r\n\r\n")[2] if http else block
+            yield row
+        else:
+            data.skip(length)
             yield row
-        at += length
 
 
 class Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    """Whole files, or (path, start, end) of a part of one."""
+
+    def __init__(self, parts: list[tuple[str, int, int | None]]):
+        self.parts = parts
 
 
 class Done(WriterCommitMessage):
@@ -147,30 +290,35 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         store, path = files(self.path)
-        found = sorted((x.path, x.size) for x in store.get_file_info(fs.FileSelector(path, allow_not_found=True)) if x.is_file and x.path.endswith(".warc.gz"))
+        info = store.get_file_info(path)
+        listed = [info] if info.is_file else store.get_file_info(fs.FileSelector(path, allow_not_found=True))
+        found = sorted((x.path, x.size) for x in listed if x.is_file and x.path.endswith((".warc.gz", ".warc")) and not os.path.basename(x.path).startswith("_"))
         out: list[InputPartition] = []
-        held: list[str] = []
+        held: list[tuple[str, int, int | None]] = []
         size = 0
         for name, n in found:
+            if n > self.partition_bytes and name.endswith(".gz"):
+                out += [Files([(name, a, min(n, a + self.partition_bytes))]) for a in range(0, n, self.partition_bytes)]
+                continue
             if held and size + n > self.partition_bytes:
                 out.append(Files(held))
                 held, size = [], 0
-            held.append(name)
+            held.append((name, 0, None))
             size += n
         return [*out, Files(held)]
 
     def read(self, partition: Files):
         store, _ = files(self.path)
         names = self.schema.names
-        for path in partition.paths:
+        for path, start, end in partition.parts:
             with store.open_input_file(path) as source:
-                for row in records(source, self.payload, self.wanted):
+                for row in records(source, self.payload, self.wanted, start, end, path.endswith(".gz")):
                     yield tuple(row[n] for n in names)
 
 
 class WarcWriter(DataSourceWriter):
-    def __init__(self, options: dict):
-        self.path = options["path"]
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
 
     def write(self, rows) -> Done:
         """One file a task, under a name of its own: what a lost or repeated attempt wrote is never committed."""
@@ -178,7 +326,7 @@ class WarcWriter(DataSourceWriter):
 
         store, path = files(self.path)
         context = TaskContext.get()
-        final = f"{path}/part-{context.partitionId():06d}.warc.gz"
+        final = f"{path}/part-{context.partitionId():06d}-{self.job}.warc.gz"  # another write's files have another name
         temporary = f"{path}/_attempt-{context.partitionId():06d}-{uuid.uuid4().hex}"
         first = next(iter(rows), None)
         if first is None:
@@ -192,10 +340,15 @@ class WarcWriter(DataSourceWriter):
 
     def commit(self, messages: list[Done]) -> None:
         store, path = files(self.path)
+        from pyarrow import fs
+
         store.create_dir(path, recursive=True)
+        old = [x.path for x in store.get_file_info(fs.FileSelector(path)) if x.is_file and x.path.endswith((".warc.gz", ".warc"))] if self.overwrite else []
         for m in messages:
             if m is not None and m.temporary:
                 store.move(m.temporary, m.final)
+        for x in old:
+            store.delete_file(x)
 
     def abort(self, messages: list[Done]) -> None:
         store, _ = files(self.path)
@@ -216,7 +369,7 @@ class Warc(DataSource):
         return WarcReader(schema, self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
