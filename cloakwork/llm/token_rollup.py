@@ -6,16 +6,19 @@ rollup that they add up to::
     entries/batch=<id>   doc_id, source, lang, tokenizer, n_tokens, n_docs   (signed)
     deltas/batch=<id>    source, lang, tokenizer, n_tokens, n_docs           (signed sums)
     changes/batch=<id>   the batch itself, one row for each document and tokenizer version
-    commits/batch=<id>   written last: a batch without it does not count
+    commits/<id>         an empty file, made last and in one step: a batch without it does not count
 
 An insert adds the document's counts, a delete subtracts what the ledger holds for it, a revision does
-both.  Totals are sums of the committed deltas, so a batch costs its own rows and the entries of the
-documents it names, never a recount.  Committing a batch id again changes nothing; a batch whose
+both.  Totals are sums of the committed deltas, so a batch costs its own rows and the entries in the
+``buckets`` that its documents fall into (entries are stored by a hash of the document), never a recount.
+``compact`` replaces all entries and deltas so far by what they add up to, so that the ledger grows with its
+documents, not with its history.  Committing a batch id again changes nothing; a batch whose
 commit was lost halfway is written over.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +30,8 @@ from cloakwork.llm.quality import words_of
 ENTRY = "doc_id long, source string, lang string, tokenizer string, n_tokens long, n_docs long"
 DELTA = "source string, lang string, tokenizer string, n_tokens long, n_docs long"
 KEYS = ["source", "lang", "tokenizer"]
+#: How the names of compactions begin.
+COMPACT = "_all-"
 
 #: Rule-based tokenizers by version: whitespace words, and runs of digits, Latin letters and characters beyond ASCII.
 TOKENIZERS = {
@@ -60,44 +65,67 @@ def count_bpe_tokens(docs: DataFrame, ranks: str, version: str) -> DataFrame:
 class TokenLedger:
     """Token totals in ``path``, a folder that driver and executors share."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    def _store(self, path: str):
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
+
+    def batches(self) -> list[str]:
+        """Names of the committed batches that count (one a batch), those that a compaction holds left out."""
+        store, path = self._store(f"{self.path}/commits")
+        names = sorted(x.getPath().getName() for x in store.listStatus(path)) if store.exists(path) else []
+        held = [n for n in names if n.startswith(COMPACT)]
+        return [n for n in names if not n.startswith(COMPACT) and not any(n in self._held(h) for h in held)] + held[-1:]
+
+    def _held(self, name: str) -> set[str]:
+        return {r[0] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/held/batch={name}").collect()}
 
     def committed(self, batch: str) -> bool:
-        return self._exists(f"{self.path}/commits/batch={batch}/_SUCCESS")
+        store, path = self._store(f"{self.path}/commits/{batch}")
+        return store.exists(path)
+
+    def _mark(self, batch: str) -> None:
+        store, path = self._store(f"{self.path}/commits/{batch}")
+        store.create(path, True).close()
 
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        """Rows of committed batches (the list of commits is small: one row a batch)."""
-        if not self._exists(f"{self.path}/commits"):
+    def _read(self, kind: str, schema: str, known: list[str]) -> DataFrame:
+        """Rows of these batches."""
+        if not known:
             return self.spark.createDataFrame([], schema)
-        done = self.spark.read.schema("rows long, batch string").parquet(f"{self.path}/commits").select("batch").distinct()
-        return self.spark.read.schema(f"{schema}, batch string").parquet(f"{self.path}/{kind}").join(F.broadcast(done), "batch", "left_semi").drop("batch")
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{kind}").parquet(*[f"{self.path}/{kind}/batch={b}" for b in known])
 
     def entries(self) -> DataFrame:
-        return self._read("entries", ENTRY)
+        return self._read("entries", ENTRY, self.batches()).drop("bucket")
 
-    def current(self) -> DataFrame:
+    def current(self, entries: DataFrame | None = None) -> DataFrame:
         """What the ledger holds for each document and tokenizer version."""
-        sums = self.entries().groupBy("doc_id", *KEYS).agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_docs").alias("n_docs"))
+        sums = (entries or self.entries()).groupBy("doc_id", *KEYS).agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_docs").alias("n_docs"))
         return sums.filter("n_docs != 0 OR n_tokens != 0")
 
     def totals(self) -> DataFrame:
-        sums = self._read("deltas", DELTA).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        sums = self._read("deltas", DELTA, self.batches()).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.filter("n_docs != 0 OR n_tokens != 0")
 
+    def _write(self, batch: str, rows: DataFrame) -> None:
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")
+        rows.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/entries/batch={batch}")
+        back = self._read("entries", ENTRY, [batch])
+        back.groupBy(*KEYS).agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_docs").alias("n_docs")).write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch}")
+
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Apply a batch: rows (op, doc_id, source, lang, tokenizer, n_tokens), op insert, delete or revise.
 
         Of several rows for one document and tokenizer the largest (op, source, lang, n_tokens) counts.
         An insert or revision replaces what the ledger holds; a delete of an unknown document changes
         nothing (its other columns are not read).  Rows without doc_id or tokenizer are ignored; a
-        null source or language is a group of its own.  Returns False where the batch was known.
+        null source or language is a group of its own; other columns are ignored; an empty batch commits
+        and changes nothing.  Texts reach the ledger as counts only, however long.  One writer at a time.
+        Returns False where the batch was known.
         """
+        if batch.startswith(COMPACT) or "/" in batch or not batch:
+            raise ValueError(f"no name for a batch: {batch}")
         if self.committed(batch):
             return False
         rank = F.struct("op", "source", "lang", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
@@ -108,12 +136,22 @@ class TokenLedger:
         last = self.spark.read.schema(last.schema).parquet(place)
         added = last.filter("op != 'delete'").select("doc_id", *KEYS, "n_tokens", F.lit(1).cast("long").alias("n_docs"))
         signed = added
-        if self._exists(f"{self.path}/commits"):
-            old = self.current().join(last.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi")
+        before = self.batches()
+        if before:
+            bucket = F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")
+            touched = [r[0] for r in last.select(bucket.alias("bucket")).distinct().collect()]  # ``buckets`` numbers at most
+            old = self._read("entries", f"{ENTRY}, bucket int", before).filter(F.col("bucket").isin(touched)).drop("bucket")
+            old = self.current(old).join(last.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi")
             signed = added.unionByName(old.select("doc_id", *KEYS, (-F.col("n_tokens")).alias("n_tokens"), (-F.col("n_docs")).alias("n_docs")))
-        place = f"{self.path}/entries/batch={batch}"
-        signed.write.mode("overwrite").parquet(place)
-        rows = self.spark.read.schema(ENTRY).parquet(place)
-        rows.groupBy(*KEYS).agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_docs").alias("n_docs")).write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch}")
-        rows.agg(F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{self.path}/commits/batch={batch}")
+        self._write(batch, signed)
+        self._mark(batch)
         return True
+
+    def compact(self) -> None:
+        """Put what all committed batches add up to in their place (their names stay known)."""
+        before = self.batches()
+        name = f"{COMPACT}{len(before):08d}-{uuid.uuid4().hex}" if not (old := [b for b in before if b.startswith(COMPACT)]) else f"{COMPACT}{int(old[-1][len(COMPACT):].split('-')[0]) + 1:08d}-{uuid.uuid4().hex}"
+        held = set(before).union(*[self._held(o) for o in old]) if old else set(before)
+        self.spark.createDataFrame([(b,) for b in sorted(held)], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/held/batch={name}")
+        self._write(name, self.current().select("doc_id", *KEYS, "n_tokens", "n_docs"))
+        self._mark(name)

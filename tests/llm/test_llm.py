@@ -282,3 +282,82 @@ def test_toxicity_edges(spark):
     got = toxicity.score_documents(docs, labels).collect()
     assert len(got) == 5 and [r["held_out"] for r in got if r["doc_id"] is None] == [False] and all(0 <= r["score"] <= 1 for r in got)
     assert toxicity.score_documents(docs.limit(0), labels.limit(0)).count() == 0
+
+
+PAGES = "page_id long, url string, html string"
+
+
+def test_warc_appends_and_overwrite(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    page = lambda i: warc.page_records(spark.createDataFrame([(i, "u", "x" * 10 * i)], PAGES))
+    warc.register(spark)
+    for i in (1, 2):
+        page(i).write.format("warc").mode("append").save(path)
+    assert sorted(r["page_id"] for r in warc.read_archive(spark, path).collect()) == [1, 2]
+    page(3).write.format("warc").mode("overwrite").save(path)
+    assert [(r["page_id"], len(r["payload"])) for r in warc.read_archive(spark, path).collect()] == [(3, 30)]
+
+
+@pytest.mark.parametrize("kind", ["members", "one", "plain", "own"])
+def test_warc_foreign_archives(spark, tmp_path, kind):
+    """Archives of other writers: plain gzip members, one member for all, no gzip; split into small ranges; broken header bytes."""
+    import gzip
+
+    rng = random.Random(1)
+    want, whole = [], []
+    for i in range(60):
+        body = bytes(rng.randrange(256) for _ in range(rng.randint(0, 3000)))
+        if i % 3 == 2:
+            head, block = b"WARC-Type: metadata\r\nContent-Type: text/plain\r\n", body
+        else:
+            head, block = b"WARC-Type: response\r\ncontent-type: application/http; msgtype=response\r\n", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + body
+        head += b"WARC-Target-URI: http://x/\xff%d\r\n" % i
+        whole.append(b"WARC/1.0\r\n" + head + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n")
+        want.append(("metadata" if i % 3 == 2 else "response", f"http://x/�{i}", body))
+    if kind == "own":
+        want = [("response", f"u{i}", bytes(str(rng.random()) * 20, "ascii")) for i in range(60)]
+        warc.archive(spark.createDataFrame([(i, u, b.decode()) for i, (_, u, b) in enumerate(want)], PAGES).coalesce(1), f"file://{tmp_path}")
+    elif kind == "plain":
+        (tmp_path / "a.warc").write_bytes(b"".join(whole))
+    else:
+        (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, whole)) if kind == "members" else gzip.compress(b"".join(whole)))
+    key = lambda r: r[1]
+    for size in (1000, 1 << 27):
+        df = warc.read_archive(spark, f"file://{tmp_path}", partition_bytes=size)
+        assert sorted(((r["record_type"], r["target_uri"], bytes(r["payload"])) for r in df.collect()), key=key) == sorted(want, key=key)
+        assert df.filter("record_type = 'response'").select("target_uri").count() == sum(x[0] == "response" for x in want)
+    assert warc.read_archive(spark, f"file://{tmp_path}", payload="false").filter("payload IS NULL").count() == 60
+
+
+def test_warc_edges(spark, tmp_path):
+    """Null ids and texts, repeated ids, clashing names, ties among equal payloads, an empty table."""
+    long = "y" * 3_000_000
+    rows = [(None, None, None, 1), (None, "u", "x" * 150, 2), (2, "u", "x" * 150, 3), (2, "u", "x" * 150, 3), (5, "u", "x" * 150, 4), (6, "u", long, 5)]
+    pages = spark.createDataFrame([(a, b, c, str(d)) for a, b, c, d in rows], PAGES + ", record_type string")
+    got = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0, r["payload_bytes"]) for r in warc.page_report(pages).collect())
+    assert got == [(0, "response", 0, 0), (0, "revisit", 2, 150), (2, "response", 0, 150), (2, "response", 0, 150), (5, "revisit", 2, 150), (6, "response", 0, 3_000_000)]
+    assert warc.page_report(pages.limit(0)).count() == 0
+
+
+def test_ledger_lost_commit_and_compaction(spark, tmp_path):
+    """A batch whose commit was lost counts once when it is retried; a compaction changes no total."""
+    ledger = token_rollup.TokenLedger(spark, f"file://{tmp_path}/l", buckets=3)
+    row = lambda op, i, n, s="s": (op, i, s, "en", "v1", n)
+    make = lambda *rows: spark.createDataFrame([(*r, "x") for r in rows], "op string, doc_id long, source string, lang string, tokenizer string, n_tokens long, bucket string")
+    state = lambda: sorted(map(tuple, ledger.totals().collect()), key=str)
+    first = make(row("insert", 1, 5), row("insert", 2, 7), row("insert", 3, 10, None), row("insert", None, 99))
+    ledger.commit("a", first)
+    (tmp_path / "l" / "commits" / "a").unlink()
+    assert state() == []
+    assert ledger.commit("a", first) and not ledger.commit("a", first)
+    assert state() == [("s", "en", "v1", 2, 12), (None, "en", "v1", 1, 10)]
+    ledger.commit("b", make(row("revise", 2, 4), row("delete", 3, 0)))
+    before = state()
+    assert before == [("s", "en", "v1", 2, 9)]
+    ledger.compact()
+    assert state() == before and len(ledger.batches()) == 1 and not ledger.commit("b", make(row("insert", 8, 1)))
+    ledger.commit("c", make(row("delete", 1, 0)))
+    ledger.commit("empty", make().limit(0) if False else first.limit(0))
+    ledger.compact()
+    assert state() == [("s", "en", "v1", 1, 4)] and len(ledger.batches()) == 1
+    assert [tuple(r) for r in ledger.current().select("doc_id", "n_tokens").collect()] == [(2, 4)]
