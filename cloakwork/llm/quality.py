@@ -98,7 +98,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, *, buckets: int = 1 <<
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept for every row.
 
     A null or empty text has no words: its counts are 0, its score is 0 and the base rules reject it.
-    Repeated rows are judged one by one; equal texts get equal scores.  Without trusted documents all
+    Repeated rows are judged one by one, texts of any length whole; equal texts get equal scores, and one at the threshold is kept.  Without trusted documents all
     ratios are those of an even target.  Other columns are ignored.
     """
     found = ratios(docs, labels, buckets=buckets, smoothing=smoothing).select(F.to_json("ratio")).first()[0]
