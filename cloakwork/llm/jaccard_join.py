@@ -39,7 +39,7 @@ from cloakwork.llm.shared import mix, rolling, slices, word_names, written
 SHINGLE = 5
 LIGHT_BITS = 62
 #: Bytes of text that a task works on at a time.
-STEP = 5_000_000
+STEP = 3_000_000
 #: Classes to compare up to which their names travel as a bitmap of 16 bits each (16 MB at most); beyond, rows meet them in a join.
 BITMAP_CLASSES = 1 << 23
 #: Sets that are compared with one class by one task.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -66,8 +67,26 @@ def rolling(tokens: np.ndarray, width: int, salt: int) -> np.ndarray:
     return h
 
 
+def trim() -> None:
+    """Give memory that this worker has freed back to the machine, and drop the table of powers (workers are used again)."""
+    _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library keeps or frees memory as it likes
+    _LIBC = None
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: int = 1, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into pieces whose texts (a binary column) hold ``limit`` bytes at most, or one row."""
+    """Cut Arrow batches into pieces whose texts (a binary column) hold ``limit`` bytes at most, or one row.
+
+    Memory that a piece took is given back before the next.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -77,7 +96,10 @@ def slices(batches: Iterable[pa.RecordBatch], text: int = 1, limit: int = CHUNK_
             before = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, to - at)
+            if ends[to - 1] - before > limit // 4:
+                trim()
             at = to
+    trim()
 
 
 def chunks(batches: Iterable[pa.RecordBatch], text: int = 1, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
