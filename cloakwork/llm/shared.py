@@ -68,8 +68,7 @@ def rolling(tokens: np.ndarray, width: int, salt: int) -> np.ndarray:
 
 
 def trim() -> None:
-    """Give memory that this worker has freed back to the machine, and drop the table of powers (workers are used again)."""
-    _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    """Give memory that this worker has freed back to the machine (workers are used again)."""
     pa.default_memory_pool().release_unused()
     if _LIBC is not None:
         _LIBC.malloc_trim(0)
@@ -85,7 +84,7 @@ except (OSError, AttributeError):  # another C library keeps or frees memory as
 def slices(batches: Iterable[pa.RecordBatch], text: int = 1, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into pieces whose texts (a binary column) hold ``limit`` bytes at most, or one row.
 
-    Memory that a piece took is given back before the next.
+    Memory that the pieces took is given back at the end.
     """
     for batch in batches:
         if not batch.num_rows:
@@ -96,9 +95,8 @@ def slices(batches: Iterable[pa.RecordBatch], text: int = 1, limit: int = CHUNK_
             before = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, to - at)
-            if ends[to - 1] - before > limit // 4:
-                trim()
             at = to
+    _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
     trim()
 
 
