@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Quote characters that keys drop, and header words that give no prefix.
@@ -23,6 +23,12 @@ def nfc(text: Column) -> Column:
     return F.pandas_udf(composed, "string")(text.cast("string"))
 
 
+def composed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds ``name``: the column in canonical composition.  Rows in ASCII, which are composed, never leave the JVM; call it on distinct values."""
+    plain = F.coalesce(~F.col(column).rlike(r"[^\x00-\x7F]"), F.lit(True))
+    return df.filter(plain).withColumn(name, F.col(column)).unionByName(df.filter(~plain).withColumn(name, nfc(F.col(column))))
+
+
 def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 

@@ -50,6 +50,19 @@ ORG_COMMON = "заказчик заказчика заказчику заказ
 # Common words that taggers mistake for people.
 COMMON = "приоритетным приоритетный приоритетная приоритетное продуктовым продуктовый продуктовая направлениям направление направления направлений заказчик заказчика заказчику заказчиком исполнитель исполнителя исполнителю подрядчик подрядчика подрядчику покупатель поставщик поставщика арендодатель арендатор сторона стороны стороне сторонам доверенность доверенности доверенностю договор договора договору договором договоры соглашение соглашения соглашению приложение приложения приложению спецификация спецификации акт акта акту актом счет счета счету счетом заключение заключения работа работы работам работу услуга услуги услугам заказ заказа заказу заказом заказы поставка поставки поставку оплата оплаты оплате вознаграждение вознаграждения отдел отдела отделу департамент департамента управление управления служба службы центр центра компания компании организация организации предприятие предприятия подразделение подразделения филиал филиала руководитель руководителя директор директора менеджер менеджера сотрудник сотрудника сотруднику работник работника специалист специалиста председатель председателя заместитель заместителя начальник начальника главный главного главной генеральный генеральная генеральное исполнительный исполнительная финансовый финансовая финансовое коммерческий коммерческая технический техническая операционный операционная стратегический стратегическая региональный региональная федеральный федеральная государственный государственная муниципальный муниципальная общий общая общее основной основная дополнительный дополнительная специальный специальная отдельный отдельная ключевой ключевая информация документ отчет платеж оплата сумма стоимость проект проекта проекту программа программы клиент клиента партнер контрагент".split()
 
+# Endings that part a name's stem, in the order in which they are tried.
+STEM_ENDINGS = "овой овый евой евый еской еский овое евое еское ами ах ом ой ого ем ей его ю я е и у а".split()
+
+# Lines of two to four capitalised words (for the recogniser by line), and the word put before them.
+NAME_LINE = r"^[А-ЯЁ][а-яёА-ЯЁ\-]+(?:\s+[А-ЯЁ][а-яёА-ЯЁ\-]+){1,3}$"
+NAME_PREFIX = "Работник "
+
+# Labels of models by kind, labels that a model is asked for, and confidences by word.
+MODEL_LABELS = {"PER": "ФИО", "ORG": "ОРГ"}
+ASKED_LABELS = ("person", "organization", "address", "phone", "email", "date", "passport", "inn", "snils", "contract number")
+CONFIDENCE = {"high": 0.9, "medium": 0.6, "low": 0.3}
+LEAST_PERSON = 0.4
+
 PERSON_LABELS = ("ФИО", "PER", "person")
 ORG_LABELS = ("ОРГ", "ORG", "organization")
 LABELS = ("ФИО", "ОРГ", "EMAIL", "ТЕЛЕФОН", "IP", "ДОГОВОР", "СУММА", "ДАТА", "АДРЕС", "ПАСПОРТ", "СНИЛС", "ИНН", "КПП")
@@ -69,8 +82,8 @@ CATEGORY_HEADERS = {
 
 # Classes of whole values, in order of preference.
 VALUE_CLASSES = {
-    "email": r"^[\w.+\-]+@[\w\-]+\.[\w.\-]+$",
-    "phone": r"^[+]?[78]?[\s\-]?\(?\d{3}\)?[\s\-]?\d{3}[\s\-]?\d{2}[\s\-]?\d{2}$",
+    "email": r"(?U)^[^@\s]+@[^@\s]+\.[^@\s]+$",
+    "phone": r"(?U)^[\+7\(8][\d\s\-\(\)]{8,}$",
     "ip": r"^\d{1,3}(?:\.\d{1,3}){3}$",
     "company": r"(?iu)^(?:" + "|".join(VALUE_FORMS) + r")\s",
 }

@@ -17,11 +17,15 @@ def _empty() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
-def find(text: Column, pattern: str, label: str, prio: int) -> Column:
+def find(text: Column, pattern: str, label: str, prio: int, flags: str = P.FLAGS) -> Column:
     """All matches with their offsets: lengths of the pieces between matches, summed up."""
-    full = P.FLAGS + pattern
+    full = flags + pattern
     hits = F.regexp_extract_all(text, F.lit(full), F.lit(0))
-    gaps = F.split(text, full, -1)
+    return placed(hits, F.split(text, full, -1), label, prio)
+
+
+def placed(hits: Column, gaps: Column, label: str, prio: int) -> Column:
+    """Spans of the matches, from what lies between them."""
     zero = F.struct(F.lit(0).alias("at"), _empty().alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
@@ -31,7 +35,58 @@ def find(text: Column, pattern: str, label: str, prio: int) -> Column:
         return F.struct(end.alias("at"), F.array_append(acc["out"], span).cast(f"array<{SPAN}>").alias("out"))
 
     pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    return F.when(text.rlike(full), F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(_empty())
+    return F.when(F.size(hits) > 0, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(_empty())
+
+
+def scan(text: Column) -> Column:
+    """The scanner's spans: e-mails, addresses of machines (numbers up to 255) and phones, after all detectors in order."""
+    kinds = [(label, p) for label, p, _ in P.DETECTORS if label in ("EMAIL", "IP", "ТЕЛЕФОН")]
+    found = F.concat(*[find(text, p, label, 100 + i) for i, (label, p) in enumerate(kinds)])
+    return F.filter(found, lambda s: (s["label"] != "IP") | F.forall(F.split(s["value"], r"\."), lambda n: n.cast("int") <= 255))
+
+
+def sorted_by_start(spans: Column) -> Column:
+    """By start, then detector; overlaps stay."""
+    keyed = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), s["prio"].alias("b"), s["end"].alias("c"), s.alias("s"))))
+    return F.transform(keyed, lambda k: k["s"])
+
+
+def org_core(value: Column) -> Column:
+    """An organisation's name without legal form and quotes; null if too short, not capitalised, or a surname with initials."""
+    forms = "|".join(sorted(P.ORG_FORMS, key=len, reverse=True))
+    core = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.trim(value), f"(?iu)^(?:{forms})", "")), "[«»\"]", ""))
+    person = core.rlike(r"^[А-ЯЁ][а-яё]+(?:\s+[А-ЯЁ]\.){1,2}\s*$")
+    return F.when(core.rlike("^[А-ЯЁA-Z]") & (F.length(core) >= 3) & ~person, core)
+
+
+def org_stem(name: Column) -> Column:
+    """The first word in lower case, less the first ending of the list that leaves four letters."""
+    word = F.lower(F.split(name, r"\s+")[0])
+    out = word
+    for ending in reversed(P.STEM_ENDINGS):
+        out = F.when(word.endswith(ending) & (F.length(word) - len(ending) >= 4), F.substring(word, F.lit(1), F.length(word) - len(ending))).otherwise(out)
+    return out
+
+
+def expand_orgs(text: Column, spans: Column) -> Column:
+    """``spans`` and every further word that begins with the stem of an organisation among them."""
+    orgs = F.filter(spans, lambda s: s["label"] == "ОРГ")
+    stems = F.array_distinct(F.filter(F.transform(orgs, lambda s: org_stem(org_core(s["value"]))), lambda s: s.isNotNull() & (F.length(s) >= 4)))
+    letters = "[А-Яа-яёЁA-Za-z]"
+    edge = r"[\wА-Яа-яёЁA-Za-z]"
+
+    def one(stem: Column) -> Column:
+        pattern = F.concat(F.lit(f"(?iuU)(?<!{edge})"), quoted(stem), F.lit(f"{letters}*(?!{edge})"))
+        return placed(F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1), "ОРГ", 200)
+
+    more = F.flatten(F.transform(stems, one))
+    fresh = F.aggregate(more, spans.cast(f"array<{SPAN}>"), lambda acc, s: F.when(F.exists(acc, lambda x: x["start"] == s["start"]), acc).otherwise(F.array_append(acc, s)))
+    return F.when(F.size(stems) > 0, fresh).otherwise(spans.cast(f"array<{SPAN}>"))
+
+
+def quoted(term: Column) -> Column:
+    """A regular expression that matches the term and nothing else, whatever the term holds."""
+    return F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
 def words(value: Column) -> Column:
@@ -106,15 +161,19 @@ def placeholders(spans: Column) -> Column:
 
 
 def rewrite(text: Column, spans: Column, holders: Column) -> Column:
-    """The text with merged spans replaced, right to left."""
+    """The text with merged spans replaced; put together once from what lies between them."""
     name = lambda s: F.filter(holders, lambda h: h["value"] == s["value"])[0]["placeholder"]
-    return F.aggregate(F.reverse(spans), text, lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), name(s), F.substring(t, s["end"] + 1, F.length(t))))
+    before = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+    parts = F.transform(spans, lambda s, i: F.concat(F.substring(text, before(i) + 1, s["start"] - before(i)), name(s)))
+    last = F.coalesce(F.get(spans, F.size(spans) - 1)["end"], F.lit(0))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text)))).otherwise(text)
 
 
-def hide_terms(text: Column, terms: list[str]) -> Column:
-    """Extra terms in any case become [СКРЫТО_n], outside placeholders; a repeated term keeps its number."""
-    for n, term in enumerate(dict.fromkeys(terms), 1):
-        text = F.regexp_replace(text, r"(?iu)\Q" + term + r"\E(?![^\[\]]*_\d+\])", f"[{P.HIDDEN}_{n}]")
+def hide_terms(text: Column, terms: list[str], first: int = 1) -> Column:
+    """Extra terms in any case become [СКРЫТО_n], from ``first`` on, outside placeholders; a repeated term keeps its number."""
+    for n, term in enumerate(dict.fromkeys(t for t in terms if t), first):
+        pattern = F.concat(F.lit("(?iu)"), quoted(F.lit(term)), F.lit(r"(?![^\[\]]*_\d+\])"))
+        text = F.regexp_replace(text, pattern, F.lit(f"[{P.HIDDEN}_{n}]"))
     return text
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,19 +12,37 @@ SCHEMAS = {"text": "norm_key string, pseudonym string", "numeric": "col string,
 
 
 class Library:
+    """Tables in ``path``.  Each save carries its time and a random number; of two that store a key at once the earlier counts, for every reader."""
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     def read(self, table: str) -> DataFrame:
         """A table; empty where nothing has been stored."""
+        schema = SCHEMAS[table]
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
         if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.path}/{table}")
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(f"{schema}, saved string").parquet(f"{self.path}/{table}")
+        key, *others = [c for c in rows.columns if c != "saved"]
+        return rows.groupBy(key).agg(*[F.min_by(c, F.struct("saved", c)).alias(c) for c in others]) if others else rows.select(key).distinct()
 
     def save(self, table: str, rows: DataFrame) -> None:
-        upsert(self.read(table), rows, SCHEMAS[table].split()[0]).write.mode("append").parquet(f"{self.path}/{table}")
+        """Store the keys that are new."""
+        saved = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+        upsert(self.read(table), rows, SCHEMAS[table].split()[0]).withColumn("saved", F.lit(saved)).write.mode("append").parquet(f"{self.path}/{table}")
+
+    def save_text(self, rows: DataFrame, columns: list[str]) -> None:
+        """Store pseudonyms, and log the columns that they come from."""
+        self.save("text", rows.filter("norm_key IS NOT NULL AND pseudonym IS NOT NULL"))
+        if columns:
+            self.save("columns", self.spark.createDataFrame([(c,) for c in columns], SCHEMAS["columns"]))
+
+    def lookup(self, table: str, keys: DataFrame) -> DataFrame:
+        """The stored rows of ``keys`` (a table whose first column is the key)."""
+        key = SCHEMAS[table].split()[0]
+        return self.read(table).join(keys.select(F.col(keys.columns[0]).alias(key)).distinct(), key, "left_semi")
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:

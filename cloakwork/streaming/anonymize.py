@@ -2,19 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.functions import spans as S
 
 
-def anonymize(docs: DataFrame, labels: list[str] | None = None, identity: bool = False, text_col: str = "text") -> DataFrame:
-    """Adds spans, holders (the mapping, in order) and anonymised; a null text stays null."""
-    # nothing is kept by a name that the table may use
-    out = docs.withColumn("spans", S.merge(S.keep_labels(S.postfilter(S.detect(F.col(text_col), identity)), labels)))
-    out = out.withColumn("holders", S.placeholders(F.col("spans")))
-    return out.withColumn("anonymised", S.rewrite(F.col(text_col), F.col("spans"), F.col("holders")))
+def detect_entities(text: Column, labels: list[str] | None = None, identity: bool = False, scanner: bool = False, recognised: Column | None = None, expand: bool = True) -> Column:
+    """The merged spans of a text: detectors, a model's (``recognised``), the scanner's, further mentions of
+    organisations; less common words; merged; then those of ``labels``."""
+    found = S.detect(text, identity)
+    if recognised is not None:
+        found = F.concat(found, F.coalesce(recognised, F.array().cast(f"array<{S.SPAN}>")))
+    if scanner:
+        found = F.concat(found, S.scan(text))
+    if expand:
+        found = S.expand_orgs(text, found)
+    return S.keep_labels(S.merge(S.postfilter(found)), labels)
+
+
+def anonymize(docs: DataFrame, labels: list[str] | None = None, identity: bool = False, text_col: str = "text", *, spans: Column | None = None, names: tuple[str, str, str] = ("spans", "holders", "anonymised"), **options) -> DataFrame:
+    """Adds three columns: the spans, the mapping's entries in order, and the rewritten text; a null text stays null.
+
+    ``spans`` are spans found before (not merged); labels then part them before they are merged.  ``names`` are the new
+    columns' names; a table that uses one of them is refused.
+    """
+    used = [n for n in names if n.lower() in (c.lower() for c in docs.columns)]
+    if used:
+        raise ValueError(f"the table has columns of these names: {used}")
+    merged = detect_entities(F.col(text_col), labels, identity, **options) if spans is None else S.merge(S.keep_labels(spans, labels))
+    found, holders, rewritten = names
+    out = docs.withColumn(found, F.coalesce(merged, F.array().cast(f"array<{S.SPAN}>")))
+    out = out.withColumn(holders, S.placeholders(F.col(found)))
+    return out.withColumn(rewritten, S.rewrite(F.col(text_col), F.col(found), F.col(holders)))
 
 
 def restore(docs: DataFrame, text_col: str = "anonymised", holders_col: str = "holders") -> DataFrame:
     return docs.withColumn("restored", S.restore(F.col(text_col), F.col(holders_col)))
+
+
+def mapping_rows(docs: DataFrame, key: str, holders_col: str = "holders") -> DataFrame:
+    """(key, ord, label, placeholder, value): the mapping as a table."""
+    return docs.select(key, F.posexplode(holders_col).alias("ord", "h")).select(key, "ord", "h.label", "h.placeholder", "h.value")
+
+
+def label_sizes(spans: DataFrame, shown: int = 5) -> DataFrame:
+    """(label, n, n_values, first): spans by label, their different values, and the first values by document and place.
+
+    ``spans``: (doc_id, start, label, value).
+    """
+    firsts = spans.groupBy("label", "value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("at"))
+    top = F.slice(F.array_sort(F.collect_list(F.struct("at", "value"))), 1, shown)
+    out = firsts.groupBy("label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_values"))
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("at"))
+    least = firsts.withColumn("rank", rank).filter(F.col("rank") <= shown).groupBy("label").agg(top.alias("first"))
+    return out.join(least, "label").select("label", "n", "n_values", F.array_join(F.transform("first", lambda x: x["value"]), ", ").alias("first"))

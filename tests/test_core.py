@@ -30,14 +30,14 @@ def test_scaling(spark):
     df = spark.createDataFrame([(10, 1.005), (20, 2.5), (None, None)], "i long, d double")
     rows = df.select(masking.scale(F.col("i"), 0.7, True), masking.scale(F.col("d"), 1.0, False)).collect()
     assert [r[0] for r in rows] == [7, 14, None] and rows[0][1] == 1.0
-    assert 0.5 <= masking.coefficient("Сумма") < 1.5
+    assert 0.5 <= masking.coefficient("Сумма", "secret") < 1.5
 
 
 def test_workbook_roundtrip(spark):
     a = spark.createDataFrame([(1, "Альфа", 10), (2, "Бета", 20), (3, None, 30)], "id long, `Имя предприятия` string, n long")
     b = spark.createDataFrame([(1, "альфа", "Иванов")], "id long, `Имя предприятия` string, `Автор изменения` string")
     config = {"a": {"Имя предприятия": "text", "n": "numeric", "missing": "text"}, "b": {"Имя предприятия": "text", "Автор изменения": "text"}}
-    masked, mapping, numeric = masking.mask_workbook({"a": a, "b": b}, config, {"a": "id", "b": "id"})
+    masked, mapping, numeric = masking.mask_workbook({"a": a, "b": b}, config, {"a": "id", "b": "id"}, "secret")
     first = {r["id"]: r["Имя предприятия"] for r in masked["a"].collect()}
     assert first == {1: "Предприятие A", 2: "Предприятие B", 3: None}
     assert masked["b"].first()["Имя предприятия"] == "Предприятие A" and masked["b"].first()["Автор изменения"] == "Автор A"
