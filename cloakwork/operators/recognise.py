@@ -127,7 +127,7 @@ def json_block(answer: Column) -> Column:
         return F.struct(depth.alias("depth"), at.alias("at"), F.when((acc["end"] == 0) & (c == "}") & (depth == 0), at).otherwise(acc["end"]).alias("end"))
 
     end = F.aggregate(chars, zero, step, lambda acc: acc["end"])
-    return F.coalesce(F.trim(fenced(answer)), F.when(end > 0, F.substring(rest, F.lit(1), end)).otherwise(""))
+    return F.coalesce(F.regexp_replace(fenced(answer), r"^\s+|\s+$", ""), F.when(end > 0, F.substring(rest, F.lit(1), end)).otherwise(""))
 
 
 def _outer(answer: Column, first: str, last: str, none: str) -> Column:
@@ -180,12 +180,14 @@ def _entities(items: Column, text: Column) -> Column:
 
 def entities_of_answer(answer: Column, text: Column) -> Column:
     """An answer's array of entities; null where it holds no valid array."""
-    return _entities(F.from_json(json_array(answer), f"array<{_ITEM}>"), text)
+    part = json_array(answer)
+    return F.when(F.get_json_object(part, "$").isNotNull(), _entities(F.from_json(part, f"array<{_ITEM}>"), text))
 
 
 def review_of_answer(answer: Column, text: Column) -> Column:
     """struct(new, false_positives) of an answer about known spans; null where it holds no valid object."""
-    parsed = F.from_json(json_object(answer), f"struct<new:array<{_ITEM}>,false_positives:array<string>>")
+    part = json_object(answer)
+    parsed = F.when(F.get_json_object(part, "$").isNotNull(), F.from_json(part, f"struct<new:array<{_ITEM}>,false_positives:array<string>>"))
     wrong = F.filter(F.transform(F.coalesce(parsed["false_positives"], F.array().cast("array<string>")), lambda x: x.try_cast("int")), lambda x: x.isNotNull())
     new = F.coalesce(_entities(parsed["new"], text), F.array().cast(f"array<{ENTITY}>"))
     return F.when(parsed.isNotNull(), F.struct(new.alias("new"), F.array_distinct(wrong).alias("false_positives")))
@@ -235,7 +237,7 @@ class Recogniser:
         else:
             new = out.withColumn("said", ask(self.model)(F.coalesce(text, F.lit(""))))
             found = entities_of_answer(F.col("said.answer"), text)
-            broken = F.when(found.isNull(), F.coalesce(F.col("said.error"), F.lit(AnswerInvalid.__name__)))
+            broken = F.coalesce(F.col("said.error"), F.when(found.isNull(), AnswerInvalid.__name__))
             new = new.withColumn("entities", F.when(blank, none).otherwise(F.coalesce(found, none))).withColumn("error", F.when(~blank, broken)).drop("said")
         return new if known is None else known.unionByName(new)
 
@@ -248,7 +250,7 @@ class Recogniser:
             question = F.concat(describe(F.col(spans_col)), F.lit("\n\n"), F.coalesce(F.col(text_col), F.lit("")))
             out = docs.withColumn("answer", ask(self.model)(question))
             found = review_of_answer(F.col("answer.answer"), F.col(text_col))
-            out = out.withColumn("error", F.when(found.isNull(), F.coalesce(F.col("answer.error"), F.lit(AnswerInvalid.__name__)))).withColumn("said", F.coalesce(found, none)).drop("answer")
+            out = out.withColumn("error", F.coalesce(F.col("answer.error"), F.when(found.isNull(), AnswerInvalid.__name__))).withColumn("said", F.coalesce(found, none)).drop("answer")
         return out.withColumn("new", F.col("said.new")).withColumn("false_positives", F.col("said.false_positives")).drop("said")
 
 

@@ -2,44 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.functions import patterns as P
 from cloakwork.functions import spans as S
 from cloakwork.functions.normalize import norm_key
 from cloakwork.operators import library, masking, profile
+from cloakwork.plans import files, models, tabular, texts  # noqa: F401  these register their queries
+from cloakwork.plans.registry import QUERIES, SQL, label_sql, offsets_sql, query, t  # noqa: F401  the first two are what callers want
 from cloakwork.streaming import anonymize as A
 
-Q = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Q] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Q) -> Q:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def _label(n: str) -> str:
-    """Bijective base 26 of a positive number below 18279, in SQL."""
-    return f"(CASE WHEN {n} > 702 THEN chr(CAST(65 + (({n} - 703) // 676) % 26 AS INTEGER)) ELSE '' END || CASE WHEN {n} > 26 THEN chr(CAST(65 + (({n} - 27) // 26) % 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + ({n} - 1) % 26 AS INTEGER)))"
-
-
 CUSTOMERS = {"customer": {"c_mktsegment": "text", "c_name": "text", "c_acctbal": "numeric"}, "supplier": {"s_name": "text"}}
 ORDER = {"customer": "c_custkey", "supplier": "s_suppkey"}
-_SEGMENTS = f"seg AS (SELECT k, CASE WHEN k IS NOT NULL THEN 'C_mktsegment ' || {_label('n')} END AS p FROM (SELECT upper(trim(c_mktsegment)) AS k, row_number() OVER (ORDER BY min(c_custkey)) AS n FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1))"
+_SEGMENTS = f"seg AS (SELECT k, CASE WHEN k IS NOT NULL THEN 'C_mktsegment ' || {label_sql('n')} END AS p FROM (SELECT upper(trim(c_mktsegment)) AS k, row_number() OVER (ORDER BY min(c_custkey)) AS n FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1))"
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
@@ -110,37 +88,33 @@ def _found(spark, d, label: str) -> DataFrame:
 _EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 
 
-@query(rf"""
-WITH d AS (SELECT doc_id, regexp_extract_all(text, '{_EMAIL}') AS m, string_split_regex(text, '{_EMAIL}') AS g FROM documents),
-x AS (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM d WHERE len(m) > 0)
-SELECT doc_id, CAST(list_sum(list_transform(g[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0) AS INTEGER) AS start,
-       CAST(list_sum(list_transform(g[1:i], lambda z: length(z))) + list_sum(list_transform(m[1:i], lambda z: length(z))) AS INTEGER) AS "end", m[i] AS value FROM x
-""")
+_IP = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
+
+
+@query(offsets_sql("documents", "doc_id", _EMAIL))
 def entities_email(spark, d):
     return _found(spark, d, "EMAIL")
 
 
-@query()
+@query(offsets_sql("documents", "doc_id", _IP))
 def entities_ip(spark, d):
     return _found(spark, d, "IP")
 
 
-@query()
-def entities_phone(spark, d):
-    return _found(spark, d, "ТЕЛЕФОН")
-
-
-@query()
-def entities_date(spark, d):
-    return _found(spark, d, "ДАТА")
+_SPANS = f"""
+e AS ({offsets_sql("documents", "doc_id", _EMAIL)}), p AS ({offsets_sql("documents", "doc_id", _IP)}),
+every AS (SELECT *, 'EMAIL' AS label, 0 AS prio FROM e UNION ALL SELECT *, 'IP', 2 FROM p),
+spans AS (SELECT * FROM every x WHERE NOT EXISTS (SELECT 1 FROM every y WHERE y.doc_id = x.doc_id AND (y.start, y.start - y."end", y.prio) < (x.start, x.start - x."end", x.prio) AND y."end" > x.start))"""
 
 
-@query()
-def entities_identity(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.inline(F.concat(*[S.find(F.col("text"), p, n, i) for i, (n, p, _) in enumerate(P.IDENTITY)])))
-
-
-@query()
+@query(f"""
+WITH {_SPANS},
+firsts AS (SELECT doc_id, value, arg_min(label, start) AS label, min(start) AS first FROM spans GROUP BY doc_id, value),
+holders AS (SELECT doc_id, value, '[' || label || '_' || row_number() OVER (PARTITION BY doc_id, label ORDER BY first) || ']' AS holder FROM firsts),
+parts AS (SELECT s.doc_id, s.start, s."end", holder, coalesce(lag(s."end") OVER (PARTITION BY s.doc_id ORDER BY s.start), 0) AS before FROM spans s JOIN holders h ON h.doc_id = s.doc_id AND h.value = s.value),
+texts AS (SELECT doc_id, string_agg(substr(text, before + 1, start - before) || holder, '' ORDER BY start) AS body, max("end") AS last, CAST(count(*) AS INTEGER) AS n FROM parts JOIN documents USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN n IS NULL THEN text ELSE body || substr(text, last + 1) END AS anonymised, coalesce(n, 0) AS n_spans FROM documents d LEFT JOIN texts USING (doc_id)
+""")
 def anonymize_text(spark, d):
     out = A.anonymize(t(spark, d, "documents"))
     return out.select("doc_id", "anonymised", F.size("spans").alias("n_spans"))
@@ -151,10 +125,15 @@ def restore_text(spark, d):
     return A.restore(A.anonymize(t(spark, d, "documents"))).select("doc_id", "restored")
 
 
-@query()
+@query(f"""
+WITH {_SPANS},
+v AS (SELECT label, value, count(*) AS n, min((doc_id, start)) AS spot FROM spans GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY spot) AS i FROM v)
+SELECT label, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_values, string_agg(value, ', ' ORDER BY spot) FILTER (WHERE i <= 5) AS first FROM k GROUP BY label
+""")
 def label_counts(spark, d):
-    spans = t(spark, d, "documents").select(F.inline(S.merge(S.detect(F.col("text")))))
-    return spans.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("n_values"))
+    spans = t(spark, d, "documents").select("doc_id", F.inline(A.detect_entities(F.col("text"))))
+    return A.label_sizes(spans)
 
 
 @query("SELECT conv_id, turn, CAST(length(text) AS INTEGER) AS chars, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INTEGER) AS lines, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS INTEGER) AS words FROM conversations")
@@ -176,14 +155,48 @@ def column_types(spark, d):
     return profile.column_types({n: t(spark, d, n) for n in ("customer", "orders", "part")})
 
 
-@query()
+_CONTACTS = """SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'u' || c_custkey || '@mail.example' ELSE c_name END AS mail,
+  CASE WHEN c_custkey % 2 = 0 THEN '+7 (495) 12' || c_custkey % 10 || '-45-6' || c_custkey % 7 ELSE 'нет' END AS phone,
+  '10.0.' || c_custkey % 250 || '.1' AS host, 'ООО Ромашка ' || c_custkey AS firm, c_mktsegment AS segment FROM customer"""
+_CLASSES = {"mail": "email", "phone": "phone", "host": "ip", "firm": "company", "segment": None}
+
+
+def contacts(spark, d):
+    """Customers with columns of each value class."""
+    k = F.col("c_custkey")
+    return t(spark, d, "customer").select(
+        k.alias("id"),
+        F.when(k % 3 == 0, F.concat(F.lit("u"), k.cast("string"), F.lit("@mail.example"))).otherwise(F.col("c_name")).alias("mail"),
+        F.when(k % 2 == 0, F.concat(F.lit("+7 (495) 12"), (k % 10).cast("string"), F.lit("-45-6"), (k % 7).cast("string"))).otherwise("нет").alias("phone"),
+        F.concat(F.lit("10.0."), (k % 250).cast("string"), F.lit(".1")).alias("host"),
+        F.concat(F.lit("ООО Ромашка "), k.cast("string")).alias("firm"),
+        F.col("c_mktsegment").alias("segment"),
+    )
+
+
+def _votes(column: str) -> str:
+    rules = {"email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$", "phone": r"^[+7(8][\d\s\-()]{8,}$", "ip": r"^\d{1,3}(\.\d{1,3}){3}$", "company": r"^(ООО|АО|ПАО|ЗАО|ИП|ОАО|НКО|ФГУП|МУП|ГУП)\s"}
+    kind = "CASE " + " ".join(f"WHEN regexp_matches(v, '{r}') THEN '{c}'" for c, r in rules.items()) + " END"
+    first = f"SELECT {column} AS v FROM c WHERE {column} IS NOT NULL GROUP BY 1 ORDER BY min(id), 1 LIMIT 20"
+    return f"SELECT '{column}' AS col, (SELECT k FROM (SELECT {kind} AS k, count(*) AS n FROM ({first}) GROUP BY 1) WHERE k IS NOT NULL AND n >= 0.3 * (SELECT count(*) FROM ({first})) ORDER BY n DESC LIMIT 1) AS category"
+
+
+@query(f"WITH c AS ({_CONTACTS}) " + " UNION ALL ".join(map(_votes, _CLASSES)))
 def category_vote(spark, d):
-    return profile.category_vote(t(spark, d, "customer"), "c_name").unionByName(profile.category_vote(t(spark, d, "nation"), "n_name"))
+    df = contacts(spark, d)
+    votes = [profile.category_vote(df, c, order="id") for c in _CLASSES]
+    return reduce(DataFrame.unionByName, votes)
 
 
-@query()
+def _hits(column: str) -> str:
+    rule = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}|\b(?:\d{1,3}\.){3}\d{1,3}\b|(?:^|\D)(?:\+7|8)[\s\-]?\(?\d{3}\)?[\s\-]?\d{3}[\s\-]?\d{2}[\s\-]?\d{2}(?:\D|$)"
+    return f"SELECT '{column}' AS col, (SELECT bool_or(regexp_matches(v, '{rule}')) FROM (SELECT {column} AS v FROM c WHERE {column} IS NOT NULL GROUP BY 1 ORDER BY min(id), 1 LIMIT 20)) AS hit"
+
+
+@query(f"WITH c AS ({_CONTACTS}) " + " UNION ALL ".join(map(_hits, _CLASSES)))
 def scanner_columns(spark, d):
-    return profile.scanner_hit(t(spark, d, "customer"), "c_name").unionByName(profile.scanner_hit(t(spark, d, "pages"), "html"))
+    df = contacts(spark, d)
+    return reduce(DataFrame.unionByName, [profile.scanner_hit(df, c, order="id") for c in _CLASSES])
 
 
 @query("SELECT n_name AS norm_key, 'x' AS pseudonym FROM nation WHERE n_regionkey <> 1")
@@ -198,13 +211,17 @@ def verdict_merge(spark, d):
     return profile.settle_verdicts(n.select("col"), n.filter("n_regionkey = 0").select("col", F.lit("required").alias("verdict")), n.filter("n_regionkey < 3").select("col", F.lit("recommended").alias("verdict")))
 
 
-@query()
+@query("SELECT n_name || 'X' AS value, n_name AS best, round(200.0 * length(n_name) / (2 * length(n_name) + 1), 6)::DOUBLE AS score FROM nation")
 def fuzzy_top(spark, d):
     names = t(spark, d, "nation").select(F.col("n_name").alias("norm_key"))
     return library.fuzzy_candidates(names.select(F.concat("norm_key", F.lit("X")).alias("value")), names, 85)
 
 
-@query()
+@query(f"""
+WITH e AS ({offsets_sql("documents", "doc_id", _EMAIL)}), p AS ({offsets_sql("documents", "doc_id", _IP)})
+SELECT doc_id, start, "end", 'EMAIL' AS label FROM e
+UNION ALL SELECT doc_id, start, "end", 'IP' FROM p WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = p.doc_id AND e.start < p."end" AND p.start < e."end")
+""")
 def merge_without_overlap(spark, d):
     docs = t(spark, d, "documents")
     base, more = S.find(F.col("text"), P.DETECTORS[0][1], "EMAIL", 0), S.find(F.col("text"), P.DETECTORS[2][1], "IP", 2)
