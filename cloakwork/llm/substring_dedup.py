@@ -248,7 +248,7 @@ def _shared(rows: DataFrame, *names: str) -> DataFrame:
 
 
 def repeats(docs: DataFrame, width: int, rounds: int) -> DataFrame:
-    """(doc, crc, ranges[]): ranges of first words of repeated windows.
+    """(doc, crc, ranges[]): ranges of first words of repeated windows, each as begin * 2**32 + end.
 
     Rows that agree in doc and crc are equal texts, so each place is listed once however many they are.
     """
@@ -262,7 +262,7 @@ def repeats(docs: DataFrame, width: int, rounds: int) -> DataFrame:
     first = F.shiftright("at", 2).cast("int")
     windows = windows.select("name", "more", "doc", "crc", (F.col("at") + 4 * k).alias("at"), F.when(known, first + F.col("off")).otherwise(first + k + 1).alias("to"), F.when(~known, F.col("off") - k).alias("off"))
     found = _shared(windows, "name", "off", "more")
-    return found.groupBy("doc", "crc").agg(F.collect_set(F.struct(F.col("at").alias("begin"), F.col("to").alias("end"))).alias("ranges"))
+    return found.groupBy("doc", "crc").agg(F.collect_set(F.shiftleft(F.col("at").cast("long"), 32) + F.col("to")).alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, rounds: int = ROUNDS, carry: list[str] | None = None) -> DataFrame:
@@ -283,6 +283,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rest = F.struct(name.alias("id"), F.struct(*([F.col(c) for c in carry] if carry else [F.lit(0).alias("none")])).alias("carried"))
     rows = docs.select(F.coalesce(name, F.xxhash64(F.lit("no id"), plain)).alias("doc"), text.alias("text"), F.xxhash64(plain).alias("crc"), rest.alias("rest"))
     ranges = repeats(rows, width, rounds)
-    out = rows.join(ranges, ["doc", "crc"], "left").select("doc", "text", "crc", F.col("ranges.begin").alias("begin"), F.col("ranges.end").alias("end"), "rest")
+    out = rows.join(ranges, ["doc", "crc"], "left").select("doc", "text", "crc", F.transform("ranges", lambda r: F.shiftright(r, 32).cast("int")).alias("begin"), F.transform("ranges", lambda r: r.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("end"), "rest")
     out = out.mapInArrow(_removal(width), StructType([*_parse("doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, text binary"), rows.schema["rest"]]))
     return out.select(F.col("rest.id").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept", "text", F.col("rest.carried").alias("rest"))
