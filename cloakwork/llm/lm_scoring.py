@@ -12,9 +12,9 @@ overlap is context only, so each token is scored once; windows of many texts are
 hides later ids and those of other texts.
 
 The class and spelling tables come from counts over all training rows (fixed-size tables).  The weights
-start from a fit on ``sample_rows`` training rows; then every core of the cluster goes once through all
-windows of its share of the training rows, and the weights that they reach are averaged by their windows,
-so windows and steps grow with the corpus.  Word counts cover all training rows.  Counts of the commonest
+start from a fit on ``sample_rows`` training rows; then every input split goes once through all windows of
+its training rows, and the weights that the splits reach are averaged by their windows, so windows and steps
+grow with the corpus and a lost task is redone alone.  Word counts cover all training rows.  Counts of the commonest
 words (``frequent`` at most, a fixed bound) are broadcast; the others meet the counts in one join by word, of one
 row for each text and distinct rare word.
 """
@@ -297,15 +297,27 @@ def _passes(model, batch: int = 192, rate: float = 0.002):
     return run
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(windows, weights): the sum of several tasks' weights, each times its windows."""
+    total, flat = 0, None
+    for batch in batches:
+        for n, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = np.frombuffer(raw.as_buffer(), np.float32).astype(np.float64) * n
+            total, flat = total + n, own if flat is None else flat + own
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["windows", "weights"])
+
+
 def refined(model, training: DataFrame) -> Attention:
-    """One pass over all training rows, cut into as many tasks as the cluster has cores (each returns its weights)."""
-    tasks = training.coalesce(max(1, training.sparkSession.sparkContext.defaultParallelism))
-    found = tasks.mapInArrow(_passes(model), "windows long, weights binary").collect()
+    """One pass over all training rows: each input split goes on from the given weights by itself, and what the splits reach
+    is averaged by their windows, on the executors first (at most eight sums reach the driver)."""
+    passed = training.mapInArrow(_passes(model), "windows long, weights binary").repartition(8)
+    found = passed.mapInArrow(_sums, "windows long, weights binary").collect()
     out = Attention()
     out.p = {n: x.copy() for n, x in model.value.attention.p.items()}
     if found:
         total = sum(r[0] for r in found)
-        flat = sum(np.frombuffer(r[1], np.float32).astype(np.float64) * (r[0] / total) for r in found)
+        flat = sum(np.frombuffer(r[1], np.float64) / total for r in found)
         at = 0
         for n, x in out.p.items():
             out.p[n] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
