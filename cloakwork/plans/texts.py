@@ -59,7 +59,7 @@ def entities_fixture(spark, d):
 
 
 IDENTITY = [
-    ("серия 45 10 № 123456 и 4612 654322", [("ПАСПОРТ", "серия 45 10 № 123456"), ("ПАСПОРТ", "4612 654322")]),
+    ("серия 38 02 № 118822 и 5203 774411", [("ПАСПОРТ", "серия 38 02 № 118822"), ("ПАСПОРТ", "5203 774411")]),
     ("СНИЛС 112-233-445 95, 11223344595", [("СНИЛС", "112-233-445 95"), ("ПАСПОРТ", "1122334459"), ("СНИЛС", "11223344595")]),
     ("ИНН: 5001007322", [("ИНН", "ИНН: 5001007322"), ("ПАСПОРТ", "5001007322")]),
     ("500100732259", [("ПАСПОРТ", "5001007322"), ("ИНН", "500100732259")]),
