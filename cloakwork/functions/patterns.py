@@ -50,6 +50,11 @@ ORG_COMMON = "заказчик заказчика заказчику заказ
 # Common words that taggers mistake for people.
 COMMON = "приоритетным приоритетный приоритетная приоритетное продуктовым продуктовый продуктовая направлениям направление направления направлений заказчик заказчика заказчику заказчиком исполнитель исполнителя исполнителю подрядчик подрядчика подрядчику покупатель поставщик поставщика арендодатель арендатор сторона стороны стороне сторонам доверенность доверенности доверенностю договор договора договору договором договоры соглашение соглашения соглашению приложение приложения приложению спецификация спецификации акт акта акту актом счет счета счету счетом заключение заключения работа работы работам работу услуга услуги услугам заказ заказа заказу заказом заказы поставка поставки поставку оплата оплаты оплате вознаграждение вознаграждения отдел отдела отделу департамент департамента управление управления служба службы центр центра компания компании организация организации предприятие предприятия подразделение подразделения филиал филиала руководитель руководителя директор директора менеджер менеджера сотрудник сотрудника сотруднику работник работника специалист специалиста председатель председателя заместитель заместителя начальник начальника главный главного главной генеральный генеральная генеральное исполнительный исполнительная финансовый финансовая финансовое коммерческий коммерческая технический техническая операционный операционная стратегический стратегическая региональный региональная федеральный федеральная государственный государственная муниципальный муниципальная общий общая общее основной основная дополнительный дополнительная специальный специальная отдельный отдельная ключевой ключевая информация документ отчет платеж оплата сумма стоимость проект проекта проекту программа программы клиент клиента партнер контрагент".split()
 
+# What an entity cannot be without, by label: a character, or a match of a simple pattern.
+CYRILLIC = "[\u0400-\u052f\u1c80-\u1c8f]"
+MARKS = {"EMAIL": "@", "ДОГОВОР": "№"}
+NEEDS = {"ТЕЛЕФОН": r"(?U)\d{2}", "IP": r"(?U)\d\.\d", "ОРГ": CYRILLIC, "ФИО": CYRILLIC, "АДРЕС": CYRILLIC, "ДАТА": r"(?U)\d{4}", "ПАСПОРТ": r"(?U)\d{6}", "СНИЛС": r"(?U)\d{2}", "ИНН": r"(?U)\d{10}", "КПП": r"(?U)\d{9}"}
+
 # Endings that part a name's stem, in the order in which they are tried.
 STEM_ENDINGS = "овой овый евой евый еской еский овое евое еское ами ах ом ой ого ем ей его ю я е и у а".split()
 

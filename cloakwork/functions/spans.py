@@ -5,7 +5,7 @@ A span is struct(start, end, label, value, prio): half-open, 0-based, in code po
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.functions import patterns as P
@@ -18,10 +18,28 @@ def _empty() -> Column:
 
 
 def find(text: Column, pattern: str, label: str, prio: int, flags: str = P.FLAGS) -> Column:
-    """All matches with their offsets: lengths of the pieces between matches, summed up."""
+    """All matches with their offsets: lengths of the pieces between matches, summed up.
+
+    Texts without the characters that any match of this label holds are not searched; of the rest, those without a match once.
+    """
     full = flags + pattern
     hits = F.regexp_extract_all(text, F.lit(full), F.lit(0))
-    return placed(hits, F.split(text, full, -1), label, prio)
+    return F.when(may_hold(text, label) & text.rlike(full), placed(hits, F.split(text, full, -1), label, prio)).otherwise(_empty())
+
+
+def rows(docs: DataFrame, keys: list[str], spans: Column | str) -> DataFrame:
+    """(keys, start, end, label, value, prio): one row for each span.
+
+    By an outer generator: from another one Spark would infer a filter on the spans and push it down, where they would be found a second time.
+    """
+    return docs.select(*keys, F.inline_outer(spans)).filter("start IS NOT NULL")
+
+
+def may_hold(text: Column, label: str) -> Column:
+    """Whether a text has the characters that an entity of this label cannot be without."""
+    if label in P.MARKS:
+        return F.contains(text, F.lit(P.MARKS[label]))
+    return text.rlike(P.NEEDS[label]) if label in P.NEEDS else F.lit(True)
 
 
 def placed(hits: Column, gaps: Column, label: str, prio: int) -> Column:

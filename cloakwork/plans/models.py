@@ -43,7 +43,7 @@ def chat_of_numbers():
 def model_entities(spark, d):
     """People that a model finds in whole texts (the stand-in takes two capitalised words for one)."""
     found = R.in_whole_text(R.capitalised_pairs)(F.col("text"))
-    return t(spark, d, "documents").select("doc_id", F.inline(found)).select("doc_id", "start", "end", "value")
+    return S.rows(t(spark, d, "documents"), ["doc_id"], found).select("doc_id", "start", "end", "value")
 
 
 NAMES = "Протокол\n  Орлов Иван  \nНижний Новгород\nорлов иван\nКим Анна Ли и другие\nЛавров Лев\n"
@@ -53,7 +53,7 @@ NAMES = "Протокол\n  Орлов Иван  \nНижний Новгоро
 def line_entities(spark, d):
     """Lines that are a name, whatever a model makes of them in a sentence; place names are skipped."""
     docs = spark.createDataFrame([(NAMES,)], "text string")
-    return docs.select(F.inline(R.by_line(lambda: lambda x: [(9, len(x), "PER")])(F.col("text")))).select("start", "end", "value", "label")
+    return S.rows(docs, [], R.by_line(lambda: lambda x: [(9, len(x), "PER")])(F.col("text"))).select("start", "end", "value", "label")
 
 
 @query(r"""
@@ -64,7 +64,7 @@ SELECT conv_id, turn, start, w AS text, 0.9::DOUBLE AS confidence FROM x WHERE s
 def local_model(spark, d):
     """A scored model's people; those below the least confidence are dropped."""
     docs = R.Recogniser("local", scored_words).extract(t(spark, d, "conversations").select("conv_id", "turn", F.col("text")))
-    return docs.select("conv_id", "turn", F.inline("entities")).select("conv_id", "turn", "start", "text", "confidence")
+    return S.rows(docs, ["conv_id", "turn"], "entities").select("conv_id", "turn", "start", "text", "confidence")
 
 
 @query(r"""

@@ -82,7 +82,7 @@ def mask_stats(spark, d):
 def _found(spark, d, label: str) -> DataFrame:
     docs = t(spark, d, "documents")
     column = F.concat(*[S.find(F.col("text"), p, name, i) for i, (name, p, _) in enumerate(P.DETECTORS + P.IDENTITY) if name == label])
-    return docs.select("doc_id", F.inline(column)).select("doc_id", "start", "end", "value")
+    return S.rows(docs, ["doc_id"], column).select("doc_id", "start", "end", "value")
 
 
 _EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
@@ -132,8 +132,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY spot) AS i FROM v
 SELECT label, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_values, string_agg(value, ', ' ORDER BY spot) FILTER (WHERE i <= 5) AS first FROM k GROUP BY label
 """)
 def label_counts(spark, d):
-    spans = t(spark, d, "documents").select("doc_id", F.inline(A.detect_entities(F.col("text"))))
-    return A.label_sizes(spans)
+    return A.label_sizes(S.rows(A.detect_entities(t(spark, d, "documents").select("doc_id", "text")), ["doc_id"], "spans"))
 
 
 @query("SELECT conv_id, turn, CAST(length(text) AS INTEGER) AS chars, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INTEGER) AS lines, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS INTEGER) AS words FROM conversations")
@@ -225,4 +224,4 @@ UNION ALL SELECT doc_id, start, "end", 'IP' FROM p WHERE NOT EXISTS (SELECT 1 FR
 def merge_without_overlap(spark, d):
     docs = t(spark, d, "documents")
     base, more = S.find(F.col("text"), P.DETECTORS[0][1], "EMAIL", 0), S.find(F.col("text"), P.DETECTORS[2][1], "IP", 2)
-    return docs.select("doc_id", F.inline(S.add_without_overlap(base, more))).select("doc_id", "start", "end", "label")
+    return S.rows(docs, ["doc_id"], S.add_without_overlap(base, more)).select("doc_id", "start", "end", "label")

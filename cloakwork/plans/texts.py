@@ -54,8 +54,7 @@ def fixture(spark, rows=None) -> DataFrame:
 
 @query(_expected(FIXTURE))
 def entities_fixture(spark, d):
-    found = A.detect_entities(F.col("text"), expand=False)
-    return fixture(spark).select("doc_id", F.inline(found)).select("doc_id", "start", "end", "label", "value")
+    return S.rows(A.detect_entities(fixture(spark), expand=False), ["doc_id"], "spans").select("doc_id", "start", "end", "label", "value")
 
 
 IDENTITY = [
@@ -72,7 +71,7 @@ IDENTITY = [
 def entities_identity(spark, d):
     """Identity numbers of all kinds, sorted by place; overlaps stay."""
     found = S.sorted_by_start(F.concat(*[S.find(F.col("text"), p, n, i) for i, (n, p, _) in enumerate(P.IDENTITY)]))
-    return fixture(spark, IDENTITY).select("doc_id", F.inline(found)).select("doc_id", "start", "end", "label", "value")
+    return S.rows(fixture(spark, IDENTITY), ["doc_id"], found).select("doc_id", "start", "end", "label", "value")
 
 
 def notes(spark, d) -> DataFrame:
@@ -90,12 +89,12 @@ _AT = "length('Клиент ' || c_name || ' тел. ')"
 
 @query(f"SELECT c_custkey AS doc_id, CAST({_AT} AS INTEGER) AS start, CAST({_AT} + 18 AS INTEGER) AS \"end\", {_PHONE} AS value FROM customer")
 def entities_phone(spark, d):
-    return notes(spark, d).select("doc_id", F.inline(S.find(F.col("text"), P.DETECTORS[1][1], "ТЕЛЕФОН", 1))).select("doc_id", "start", "end", "value")
+    return S.rows(notes(spark, d), ["doc_id"], S.find(F.col("text"), P.DETECTORS[1][1], "ТЕЛЕФОН", 1)).select("doc_id", "start", "end", "value")
 
 
 @query(f"SELECT c_custkey AS doc_id, CAST({_AT} + 22 AS INTEGER) AS start, CAST({_AT} + 32 AS INTEGER) AS \"end\", {_DATE} AS value FROM customer")
 def entities_date(spark, d):
-    return notes(spark, d).select("doc_id", F.inline(S.find(F.col("text"), P.DETECTORS[10][1], "ДАТА", 10))).select("doc_id", "start", "end", "value")
+    return S.rows(notes(spark, d), ["doc_id"], S.find(F.col("text"), P.DETECTORS[10][1], "ДАТА", 10)).select("doc_id", "start", "end", "value")
 
 
 _NOTE = "'Клиент ' || c_name || ' тел. [ТЕЛЕФОН_1], с [ДАТА_1] по договору [ДОГОВОР_1]'"
@@ -199,7 +198,7 @@ def org_expansion(spark, d):
     """Every further mention of an organisation, by its stem."""
     text = F.col("text")
     found = S.sorted_by_start(S.expand_orgs(text, S.find(text, P.DETECTORS[3][1], "ОРГ", 3)))
-    return fixture(spark, [MENTIONS]).select("doc_id", F.inline(found)).select("doc_id", "start", "end", "label", "value")
+    return S.rows(fixture(spark, [MENTIONS]), ["doc_id"], found).select("doc_id", "start", "end", "label", "value")
 
 
 SCANS = ("a@b.example и 10.0.0.256, 10.0.9.25, 8-495-555-01-02", [("EMAIL", "a@b.example"), ("IP", "10.0.9.25"), ("ТЕЛЕФОН", "8-495-555-01-02")])
@@ -207,7 +206,7 @@ SCANS = ("a@b.example и 10.0.0.256, 10.0.9.25, 8-495-555-01-02", [("EMAIL", "a@
 
 @query(_expected([SCANS]))
 def scanner_spans(spark, d):
-    return fixture(spark, [SCANS]).select("doc_id", F.inline(S.scan(F.col("text")))).select("doc_id", "start", "end", "label", "value")
+    return S.rows(fixture(spark, [SCANS]), ["doc_id"], S.scan(F.col("text"))).select("doc_id", "start", "end", "label", "value")
 
 
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(text, 'lake', '[СКРЫТО_1]', 'gi'), 'the', '[СКРЫТО_2]', 'gi') AS hidden FROM documents")

@@ -8,31 +8,37 @@ from pyspark.sql import functions as F
 from cloakwork.functions import spans as S
 
 
-def detect_entities(text: Column, labels: list[str] | None = None, identity: bool = False, scanner: bool = False, recognised: Column | None = None, expand: bool = True) -> Column:
-    """The merged spans of a text: detectors, a model's (``recognised``), the scanner's, further mentions of
-    organisations; less common words; merged; then those of ``labels``."""
+def detect_entities(docs: DataFrame, name: str = "spans", labels: list[str] | None = None, identity: bool = False, text_col: str = "text", *, scanner: bool = False, recognised: Column | None = None, expand: bool = True) -> DataFrame:
+    """Adds the merged spans of a text: detectors, a model's (``recognised``), the scanner's, further mentions of
+    organisations; less common words; merged; then those of ``labels``.  What is found is a column between the steps, so
+    that no step searches again."""
+    text = F.col(text_col)
     found = S.detect(text, identity)
     if recognised is not None:
         found = F.concat(found, F.coalesce(recognised, F.array().cast(f"array<{S.SPAN}>")))
     if scanner:
         found = F.concat(found, S.scan(text))
+    out = docs.withColumn(name, found)
     if expand:
-        found = S.expand_orgs(text, found)
-    return S.keep_labels(S.merge(S.postfilter(found)), labels)
+        out = out.withColumn(name, S.expand_orgs(text, F.col(name)))
+    return out.withColumn(name, S.keep_labels(S.merge(S.postfilter(F.col(name))), labels))
 
 
 def anonymize(docs: DataFrame, labels: list[str] | None = None, identity: bool = False, text_col: str = "text", *, spans: Column | None = None, names: tuple[str, str, str] = ("spans", "holders", "anonymised"), **options) -> DataFrame:
     """Adds three columns: the spans, the mapping's entries in order, and the rewritten text; a null text stays null.
 
     ``spans`` are spans found before (not merged); labels then part them before they are merged.  ``names`` are the new
-    columns' names; a table that uses one of them is refused.
+    columns' names; a table that uses one of them is refused.  ``options`` as detect_entities.
     """
     used = [n for n in names if n.lower() in (c.lower() for c in docs.columns)]
     if used:
         raise ValueError(f"the table has columns of these names: {used}")
-    merged = detect_entities(F.col(text_col), labels, identity, **options) if spans is None else S.merge(S.keep_labels(spans, labels))
     found, holders, rewritten = names
-    out = docs.withColumn(found, F.coalesce(merged, F.array().cast(f"array<{S.SPAN}>")))
+    none = F.array().cast(f"array<{S.SPAN}>")
+    if spans is None:
+        out = detect_entities(docs, found, labels, identity, text_col, **options).withColumn(found, F.coalesce(found, none))
+    else:
+        out = docs.withColumn(found, F.coalesce(S.merge(S.keep_labels(spans, labels)), none))
     out = out.withColumn(holders, S.placeholders(F.col(found)))
     return out.withColumn(rewritten, S.rewrite(F.col(text_col), F.col(found), F.col(holders)))
 
@@ -43,7 +49,8 @@ def restore(docs: DataFrame, text_col: str = "anonymised", holders_col: str = "h
 
 def mapping_rows(docs: DataFrame, key: str, holders_col: str = "holders") -> DataFrame:
     """(key, ord, label, placeholder, value): the mapping as a table."""
-    return docs.select(key, F.posexplode(holders_col).alias("ord", "h")).select(key, "ord", "h.label", "h.placeholder", "h.value")
+    every = docs.select(key, F.posexplode_outer(holders_col).alias("ord", "h")).filter("ord IS NOT NULL")  # outer: see spans.rows
+    return every.select(key, "ord", "h.label", "h.placeholder", "h.value")
 
 
 def label_sizes(spans: DataFrame, shown: int = 5) -> DataFrame:
