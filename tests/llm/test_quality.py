@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cloakwork.llm import quality
+from cloakwork.llm import quality, toxicity
 
 
 def test_target_covers_all_trusted(spark):
@@ -55,3 +55,14 @@ def test_scores_equal_brute_force(spark):
             assert r["score"] == pytest.approx(score, abs=1e-9) and r["kept"] == (not r["base_failed"] and r["score"] >= threshold)
     assert any(r["kept"] for r in got) and any(not r["kept"] and not r["base_failed"] for r in got)
     assert quality.quality_verdicts(docs.limit(0), table.limit(0)).count() == 0
+
+
+def test_toxicity_middle_is_set_on_rows_apart():
+    """Clean rows after the first ``clean_rows`` change no margin, only the middle, and the middle then leaves them alone."""
+    toxic = [(f"you are a {w} person {i}", 1) for i, w in enumerate(["blarghk", "bl-arghk", "blaarghk", "blarrghk"] * 10)]
+    clean = [(f"a plain sentence of words number {i}", 0) for i in range(40)]
+    spare = [(f"there was a blargo in the park {i}", 0) for i in range(10)]
+    alone, met = (toxicity.train(toxic + clean + more, clean_rows=40) for more in ([], spare))
+    assert (alone.table == met.table).all() and alone.bias == met.bias
+    assert toxicity.Scorer(met)([t for t, _ in spare]).max() < 0.5
+    assert toxicity.Scorer(met)([t for t, _ in toxic]).min() >= 0.5
