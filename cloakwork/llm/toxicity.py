@@ -145,7 +145,8 @@ class StringMachine:
 
 def separate(positive: np.ndarray, negative: np.ndarray, *, cost: float = 3000.0, steps: int = 1500) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss by accelerated gradient steps; both classes weigh the same."""
-    x = np.c_[np.vstack([positive, negative]).astype(np.float64), np.ones(len(positive) + len(negative))]
+    x = np.ones((len(positive) + len(negative), positive.shape[1] + 1))  # filled in place: the training data are held once
+    x[: len(positive), :-1], x[len(positive) :, :-1] = positive, negative
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
     c = np.where(y > 0, cost / len(positive), cost / len(negative))
     step = 1.0 / (1.0 + 2 * np.linalg.eigvalsh((x * c[:, None]).T @ x)[-1])
@@ -232,7 +233,8 @@ def train(rows: Iterable[tuple[str | None, int]], *, clean_rows: int = 3000, lan
         marks: list[int] = []
         for group, share in ((witness, landmarks // 2), (hard, landmarks // 4)):  # unlike each other
             pool = group[np.sort(rng.permutation(len(group))[:1500])] if len(group) > 1500 else group
-            gram = Landmarks([words[x] for x in pool]).kernel([words[x] for x in pool])
+            names = [words[x] for x in pool]
+            gram = np.hstack([Landmarks(names[i : i + 256]).kernel(names) for i in range(0, len(names), 256)])  # few columns at a time
             picked: list[int] = []
             for i in range(len(pool)):
                 if not picked or gram[i, picked].max() < 0.75:
