@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ from cloakwork.llm.shared import mix, signed, slices, word_parts, written
 CLASSES = 64
 IDS = 1024
 WINDOW, STRIDE = 32, 24
+#: Places of a window that are context only.
+AHEAD = WINDOW - STRIDE
 WIDTH = 16
 STEP = 2_000_000
 LN10 = float(np.log(10))
@@ -94,6 +97,11 @@ def exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return z, np.exp(z)
 
 
+def times(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The places of all windows times a matrix, as one product instead of one a window."""
+    return (x.reshape(-1, x.shape[-1]) @ weights).reshape(*x.shape[:-1], -1)
+
+
 class Attention:
     """Weights of the model and its forward and backward passes on batches of windows."""
 
@@ -113,47 +121,63 @@ class Attention:
         self.open = np.tril(np.ones((WINDOW, WINDOW), np.float32))  # no place sees later ones
 
     def forward(self, first: np.ndarray, last: np.ndarray, hidden: np.ndarray):
-        """(z, e, total, parts): P(class) at each place is e / total, its logarithm z - log(total).
+        """(z, e, total, parts): P(class) at each of a window's last ``STRIDE`` places is e / total, its logarithm z - log(total).
 
+        Only these places are ever scored; those before them are what they see.
         ``hidden``: how many of a window's first places hold nothing.
         """
         p, d = self.p, WIDTH
-        x = p["first"][first] + p["last"][last] + p["place"]
-        q, k, v = np.split(x @ p["qkv"], 3, axis=2)
-        a = exponentials(q @ k.transpose(0, 2, 1) * np.float32(d**-0.5))[1] * self.open
+        x = p["first"][first]
+        x += p["last"][last]
+        x += p["place"]
+        q = times(x[:, AHEAD:], p["qkv"][:, :d])
+        kv = times(x, p["qkv"][:, d:])
+        k, v = kv[:, :, :d], kv[:, :, d:]
+        a = exponentials(q @ k.transpose(0, 2, 1) * np.float32(d**-0.5))[1]
+        a *= self.open[AHEAD:]
         if hidden.any():
             some = np.flatnonzero(hidden)
             a[some] *= np.arange(WINDOW)[None, None, :] >= hidden[some][:, None, None]
-        a /= (a @ np.ones(WINDOW, np.float32))[:, :, None] + np.float32(1e-30)  # a hidden place sees nothing
+        a /= times(a, np.ones((WINDOW, 1), np.float32)) + np.float32(1e-30)  # a hidden place sees nothing
         h = a @ v
-        y = h @ p["mix"] + x
-        z, e = exponentials(y @ p["out"] + p["bias"])
-        return z, e, e @ np.ones(CLASSES + 1, np.float32), (x, q, k, v, a, h, y)
+        y = times(h, p["mix"])
+        y += x[:, AHEAD:]
+        z = times(y, p["out"])
+        z += p["bias"]
+        z, e = exponentials(z)
+        return z, e, times(e, np.ones((CLASSES + 1, 1), np.float32))[:, :, 0], (x, q, k, v, a, h, y)
 
     def gradients(self, first, last, hidden, target, good):
         z, e, total, (x, q, k, v, a, h, y) = self.forward(first, last, hidden)
         p, d = self.p, WIDTH
+        target, good = target[:, AHEAD:], good[:, AHEAD:]
         b, w = target.shape
-        flat = lambda t: t.reshape(b * w, -1)
-        own = target[:, :, None]
-        loss = -((np.take_along_axis(z, own, 2)[:, :, 0] - np.log(total)) * good).sum() / max(1, good.sum())
-        g = e / total[:, :, None]
-        np.put_along_axis(g, own, np.take_along_axis(g, own, 2) - 1, 2)
-        g *= (good / np.float32(max(1, good.sum()))).astype(np.float32)[:, :, None]
-        out = {"out": flat(y).T @ flat(g), "bias": flat(g).sum(0)}
-        dy = g @ p["out"].T
+        flat = lambda t: t.reshape(-1, t.shape[-1])
+        own = np.arange(b * w), target.ravel()
+        weight = (good / np.float32(max(1, good.sum()))).astype(np.float32)
+        loss = -((flat(z)[own].reshape(b, w) - np.log(total)) * good).sum() / max(1, good.sum())
+        g = flat(e)
+        g *= (weight / total).reshape(-1, 1)
+        g[own] -= weight.ravel()
+        out = {"out": flat(y).T @ g, "bias": np.ones(len(g), g.dtype) @ g}
+        dy = (g @ p["out"].T).reshape(b, w, d)
         out["mix"] = flat(h).T @ flat(dy)
-        dh = dy @ p["mix"].T
-        da = dh @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dh
-        ds = a * (da - (da * a).sum(2, keepdims=True)) * np.float32(d**-0.5)
-        dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, dv], axis=2)
-        out["qkv"] = flat(x).T @ flat(dqkv)
-        dx = dqkv @ p["qkv"].T + dy
+        dh = times(dy, p["mix"].T)
+        ds = dh @ v.transpose(0, 2, 1)
+        ds -= np.einsum("bij,bij->bi", ds, a)[:, :, None]
+        ds *= a
+        ds *= np.float32(d**-0.5)
+        dq = ds @ k
+        dkv = np.concatenate([ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh], axis=2)
+        out["qkv"] = np.concatenate([flat(x[:, AHEAD:]).T @ flat(dq), flat(x).T @ flat(dkv)], axis=1)
+        dx = times(dkv, p["qkv"][:, d:].T)
+        dx[:, AHEAD:] += times(dq, p["qkv"][:, :d].T)
+        dx[:, AHEAD:] += dy
         out["place"] = dx.sum(0)
         for name, ids in (("first", first), ("last", last)):  # sums by id: rows sorted by id, added up in runs
-            order = np.argsort(ids.ravel(), kind="stable")
-            run = ids.ravel()[order]
+            ids = ids.ravel().astype(np.int16)  # sorted by their digits, which is faster
+            order = np.argsort(ids, kind="stable")
+            run = ids[order]
             begin = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
             out[name] = np.zeros_like(p[name])
             out[name][run[begin]] = np.add.reduceat(flat(dx)[order], begin)
@@ -257,8 +281,8 @@ class Model:
         for a in range(0, len(row), 256):
             b = slice(a, a + 256)
             z, _, total, _ = self.attention.forward(first[b], last[b], hidden[b])
-            own = np.take_along_axis(z, target[b][:, :, None], 2)[:, :, 0] - np.log(total)
-            np.add.at(out, row[b], np.where(good[b], own, 0).sum(1, dtype=np.float64))
+            own = np.take_along_axis(z, target[b][:, AHEAD:, None], 2)[:, :, 0] - np.log(total)
+            np.add.at(out, row[b], np.where(good[b][:, AHEAD:], own, 0).sum(1, dtype=np.float64))
         return out
 
 
@@ -366,15 +390,12 @@ class Statistics:
 
     def __init__(self, tokens: int, distinct: int, by_class: np.ndarray, names: np.ndarray, counts: np.ndarray):
         self.tokens, self.distinct, self.by_class = tokens, distinct, by_class  # by_class: tokens, distinct words
-        order = np.argsort(names)
-        self.names, self.counts = names[order], counts[order]
+        self.names, self.counts = names, counts
 
     def known(self, names: np.ndarray) -> np.ndarray:
         """Counts of the commonest words, 0 for others."""
-        if not len(self.names):
-            return np.zeros(len(names), np.int64)
-        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
-        return np.where(self.names[at] == names, self.counts[at], 0)
+        at = pa.compute.index_in(pa.array(names), value_set=pa.array(self.names)).fill_null(len(self.names)).to_numpy()
+        return np.r_[self.counts, 0][at]
 
     def base(self, count):
         return np.log((count + 1) / (self.tokens + self.distinct + 1))

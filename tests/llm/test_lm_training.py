@@ -109,3 +109,21 @@ def test_gradients():
             values.append(a.gradients(*windows)[0])
             a.p[name][at] -= step
         assert abs((values[0] - values[1]) / 2e-4 - g[name][at]) < 1e-4
+
+
+def test_only_places_to_score_are_worked_out():
+    """Context is seen, but nothing is predicted there; the places left are all that windows score."""
+    first, last, hidden, target, good, _ = lm.windows_of(lm.Words(pa.array([b"one two three four " * 20, b"five six", b""], pa.binary())))
+    z, e, total, _ = lm.Attention().forward(first, last, hidden)
+    assert z.shape == e.shape == (len(first), lm.STRIDE, lm.CLASSES + 1) and total.shape == (len(first), lm.STRIDE)
+    assert np.allclose((e / total[:, :, None]).sum(2), 1, atol=1e-5) and not good[:, : -lm.STRIDE].any()
+    assert good.sum() == 81 + 3 + 1
+
+
+def test_known_counts():
+    """Counts of listed words in any order, 0 for others, and for all where none is listed."""
+    names = np.array([9, -3, 1 << 62], np.int64)
+    some = lm.Statistics(10, 3, np.ones((lm.CLASSES, 2)), names, np.array([4, 5, 6]))
+    assert some.known(np.array([1 << 62, 0, 9, -3, 9], np.int64)).tolist() == [6, 0, 4, 5, 4]
+    none = lm.Statistics(10, 3, np.ones((lm.CLASSES, 2)), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    assert none.known(names).tolist() == [0, 0, 0] and none.known(names[:0]).tolist() == []
