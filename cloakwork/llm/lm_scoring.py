@@ -53,21 +53,38 @@ class Words:
         self.row = np.repeat(np.arange(len(column)), self.counts)
         if not len(self.names):
             self.first = self.last = self.classes = np.zeros(0, np.int64)
-            self.spell = np.zeros(0)
             return
-        size = ends - starts
-        at = lambda i, good: np.where(good, raw[np.clip(i, 0, len(raw) - 1)], 0).astype(np.uint64)
-        head = at(starts, size > 0) | at(starts + 1, size > 1) << np.uint64(8) | at(starts + 2, size > 2) << np.uint64(16)
-        tail = at(ends - 1, size > 0) | at(ends - 2, size > 1) << np.uint64(8) | at(ends - 3, size > 2) << np.uint64(16)
+        three = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF], np.uint64)[np.minimum(ends - starts, 3)]  # what a word has of three bytes
+        wide = np.r_[np.zeros(3, np.uint8), raw, np.zeros(3, np.uint8)]
+        places = lambda i: wide[i].astype(np.uint64) | wide[i + 1].astype(np.uint64) << np.uint64(8) | wide[i + 2].astype(np.uint64) << np.uint64(16)
+        head = places(starts + 3) & three
+        wide = wide[::-1]
+        tail = places(len(raw) + 3 - ends) & three
         self.first = (mix(head + np.uint64(1)) & np.uint64(IDS - 1)).astype(np.int64)
         self.last = (mix(tail + np.uint64(5)) & np.uint64(IDS - 1)).astype(np.int64)
         self.classes = self.first % CLASSES if table is None else table[self.first]
-        self.starts, self.ends, self.raw = starts, ends, raw
-        if spelling is not None:
-            before = np.r_[np.uint8(0), raw[:-1]].copy()
-            before[starts] = 0
-            total = np.r_[0.0, np.cumsum(spelling[before, raw])]
-            self.spell = total[ends] - total[starts] + spelling[raw[ends - 1], 0]
+        self.starts, self.ends, self.raw, self.spelling = starts, ends, raw, spelling
+
+    @property
+    def spell(self) -> np.ndarray:
+        return self.spelled(np.arange(len(self.names)))
+
+    def spelled(self, chosen: np.ndarray) -> np.ndarray:
+        """Spelling scores of some words."""
+        if not len(chosen):
+            return np.zeros(0)
+        place, ends = self.bytes_of(chosen)
+        begin = np.r_[0, ends[:-1]]
+        now = self.raw[place]
+        before = np.r_[np.uint8(0), now[:-1]]
+        before[begin] = 0
+        return np.add.reduceat(self.spelling[before, now], begin) + self.spelling[now[ends - 1], 0]
+
+    def bytes_of(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ``raw`` of the bytes of some words, in a row; where among them each word ends)."""
+        size = (self.ends - self.starts)[chosen]
+        ends = np.cumsum(size)
+        return np.repeat(self.starts[chosen] - ends + size, size) + np.arange(ends[-1]), ends
 
 
 def byte_pairs(words: pa.Array) -> np.ndarray:
@@ -127,8 +144,8 @@ class Attention:
         ``hidden``: how many of a window's first places hold nothing.
         """
         p, d = self.p, WIDTH
-        x = p["first"][first]
-        x += p["last"][last]
+        x = p["first"].take(first, axis=0)
+        x += p["last"].take(last, axis=0)
         x += p["place"]
         q = times(x[:, AHEAD:], p["qkv"][:, :d])
         kv = times(x, p["qkv"][:, d:])
@@ -180,7 +197,7 @@ class Attention:
             run = ids[order]
             begin = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
             out[name] = np.zeros_like(p[name])
-            out[name][run[begin]] = np.add.reduceat(flat(dx)[order], begin)
+            out[name][run[begin]] = np.add.reduceat(flat(dx).take(order, axis=0), begin)
         return loss, out
 
     def fit(self, windows, *, steps: int = 500, batch: int = 192, rate: float = 0.01, seed: int = 9) -> float:
@@ -359,12 +376,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         same = np.flatnonzero(w.row[1:] == w.row[:-1])
         near += np.bincount(w.first[same] * IDS + w.first[same + 1], minlength=IDS * IDS)
-        name, one, count = np.unique(w.names, return_index=True, return_counts=True)
-        size = (w.ends - w.starts)[one]
-        ends = np.cumsum(size)
-        data = w.raw[np.repeat(w.starts[one] - np.r_[0, ends[:-1]], size) + np.arange(ends[-1])]
-        word = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(data)])
-        yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(w.first[one].astype(np.int32)), word, pa.array(count)], names)
+        found = pa.array(signed(w.names)).dictionary_encode()
+        code, name = found.indices.to_numpy(), found.dictionary
+        count = np.bincount(code)
+        one = np.empty(len(name), np.int64)
+        one[code] = np.arange(len(code))  # a place of each word
+        place, ends = w.bytes_of(one)
+        word = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(w.raw[place])])
+        yield pa.RecordBatch.from_arrays([name, pa.array(w.first[one].astype(np.int32)), word, pa.array(count)], names)
     found = np.flatnonzero(near)
     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), -1, np.int32)), pa.nulls(len(found), pa.binary()), pa.array(near[found])], names)
 
@@ -432,7 +451,7 @@ def _scored(model, statistics):
             one = order[new]
             times = np.diff(np.r_[np.flatnonzero(new), len(order)])
             ends = np.searchsorted(w.row[one], np.arange(n + 1)).astype(np.int32)
-            parts = [pa.array(signed(w.names[one])), pa.array(times.astype(np.int32)), pa.array(w.classes[one].astype(np.int32)), pa.array(w.spell[one].astype(np.float32))]
+            parts = [pa.array(signed(w.names[one])), pa.array(times.astype(np.int32)), pa.array(w.classes[one].astype(np.int32)), pa.array(w.spelled(one).astype(np.float32))]
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, ["name", "times", "class", "spell"]))
             columns = [number + np.arange(n), w.counts + 1, sums(np.ones(often.sum())).astype(np.int64), sums(s.base(count[often])), sums(s.within(count[often], w.classes[often])) + m.class_scores(w)]
             first, *rest = map(pa.array, columns)

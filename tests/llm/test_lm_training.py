@@ -127,3 +127,16 @@ def test_known_counts():
     assert some.known(np.array([1 << 62, 0, 9, -3, 9], np.int64)).tolist() == [6, 0, 4, 5, 4]
     none = lm.Statistics(10, 3, np.ones((lm.CLASSES, 2)), np.zeros(0, np.int64), np.zeros(0, np.int64))
     assert none.known(names).tolist() == [0, 0, 0] and none.known(names[:0]).tolist() == []
+
+
+def test_word_ids_and_spellings():
+    """Beginnings, endings and spelling scores of words of all lengths against plain Python, for all words and for some."""
+    texts = [b"a bc DEF ghij", b"", b"klmno \xd0\xb6\xd1\x83\xd0\xba x", b"a"]
+    table = lm.spelling_table(np.arange(1 << 16) % 11)
+    words = lm.Words(pa.array(texts, pa.binary()), table)
+    plain = [w.lower() for x in texts for w in x.split()]
+    bits = lambda part, salt: int(lm.mix(np.array([int.from_bytes(part, "little") + salt], np.uint64))[0]) % lm.IDS
+    assert words.first.tolist() == [bits(w[:3], 1) for w in plain] and words.last.tolist() == [bits(w[::-1][:3], 5) for w in plain]
+    want = [sum(table[a, b] for a, b in zip(b"\0" + w, w + b"\0", strict=True)) for w in plain]
+    assert np.allclose(words.spell, want) and np.allclose(words.spelled(np.array([6, 1, 1])), [want[6], want[1], want[1]])
+    assert len(lm.Words(pa.array([b"", None], pa.binary()), table).spell) == len(words.spelled(np.zeros(0, np.int64))) == 0
